@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import bpe, langid, media, quality, simhash, token_counts, toxicity
+from basalt.llm import ann, bpe, langid, media, quality, simhash, token_counts, toxicity
 from basalt.llm._text import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -44,6 +44,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), is_query="id % 100 = 0", k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_media, op5_simhash, op7_bpe, op8_quality, op9_language_id)
+    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_media, op5_simhash, op7_bpe, op8_quality, op9_language_id, op10_nearest)
 }

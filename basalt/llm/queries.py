@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basalt.llm import ann, bpe, langid, media, quality, simhash, token_counts, toxicity
+from basalt.llm import ann, bpe, langid, media, quality, simhash, token_counts, toxicity, warc
 from basalt.llm._text import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -48,6 +48,25 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), is_query="id % 100 = 0", k=10)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(h), {5 * i + 1}, 5) AS BIGINT) >> {s}) & 31 AS BIGINT) + 1, 1)"
+    for i in range(8)
+    for s in (15, 10, 5, 0)
+)
+ORACLE_SQL["op6_warc"] = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+         g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h)
+    SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, g.d AS payload_digest,
+           CASE WHEN p.page_id = g.m THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN p.page_id <> g.m THEN g.m END AS refers_to
+    FROM p JOIN (SELECT h, m, {_BASE32} AS d FROM g) g ON p.h = g.h
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_media, op5_simhash, op7_bpe, op8_quality, op9_language_id, op10_nearest)
+    f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_media, op5_simhash, op6_warc, op7_bpe, op8_quality, op9_language_id, op10_nearest)
 }

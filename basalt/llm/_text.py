@@ -90,6 +90,27 @@ def map_texts(
     return ids.mapInArrow(run, schema)
 
 
+def keep_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], np.ndarray]], limit: int = SLICE_BYTES) -> DataFrame:
+    """Rows of ``docs``, all columns as they are, whose text ``make()`` keeps.
+
+    Works by position, so other columns may have any names; nothing is shuffled.
+    """
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        keep = make()
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["_text"])
+            at, masks = 0, []
+            for part in slices(named, "_text", limit):
+                masks.append(np.asarray(keep(part.column("_text")), bool))
+                at += part.num_rows
+            if masks:
+                yield batch.filter(pa.array(np.concatenate(masks)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Words:
     """The words of a slice of documents, as codes into a list of distinct words."""
 

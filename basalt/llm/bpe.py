@@ -73,28 +73,39 @@ class WordBpe:
         words = space_words(texts)
         return words, self.memo.look(words.distinct)
 
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, offsets)``: the ids of all texts in one array."""
+        words, rows = self.words(texts)
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((x for row in rows for x in row), np.int32, size.sum())
+        start = np.cumsum(size) - size
+        got = size[words.codes] if len(rows) else np.zeros(0, np.int64)
+        at = np.repeat((start[words.codes] if len(rows) else got) - (np.cumsum(got) - got), got) + np.arange(got.sum())
+        return flat[at], np.concatenate(([0], np.cumsum(got)))[words.offsets]
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        words, ids = self.words(pa.array(texts, pa.string()))
-        rows = [ids[c] for c in words.codes]
-        return [[x for t in rows[a:b] for x in t] for a, b in zip(words.offsets, words.offsets[1:])]
+        ids, offsets = self.arrays(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>, decoded`` of every row: the ids of the whole
-    text and their decoded text.  Null and empty texts have no ids and decode
-    to the empty string; repeated rows and null ids pass through."""
+    """``doc_id, n_tokens, ids array<int>, decoded`` of every row: the ids of
+    the whole text and their decoded text.  Null and empty texts have no ids
+    and decode to the empty string; repeated rows and null ids pass through."""
 
     def make():
         coder = WordBpe(tokenizer_path)
 
         def work(doc_ids, texts):
-            ids = coder.encode(texts.to_pylist())
-            return [doc_ids, pa.array(ids, pa.list_(pa.int32())), [coder.decode(x) for x in ids]]
+            ids, offsets = coder.arrays(texts)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            decoded = [coder.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+            return [doc_ids, np.diff(offsets), lists, decoded]
 
         return work
 
     kind = dict(docs.dtypes)[id_col]
-    return map_texts(docs, id_col, text_col, f"doc_id {kind}, ids array<int>, decoded string", make, 2 << 20)
+    return map_texts(docs, id_col, text_col, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string", make, 2 << 20)
 
 
 def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm._text import Memo, bucket_of, map_texts, segment_sums, space_words
+from basalt.llm._text import Memo, bucket_of, keep_texts, map_texts, segment_sums, space_words
 
 START = "▁"
 LONGEST = 6  # characters of a piece, with the mark of a word's start
@@ -159,40 +159,64 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
     texts where no language was learned get ``und`` and 0.  Repeated rows and
     null ids pass through; other columns are not read.
     """
-    languages, pieces, shares = model
-
     def make():
-        lattice = Lattice(pieces)
-
-        def fill(units: list[str]) -> np.ndarray:
-            """Log-probabilities of the units' words, and the number of letters."""
-            runs = [letter_runs(u) for u in units]
-            ends = np.cumsum([0, *map(len, runs)])
-            flat = [r for rs in runs for r in rs]
-            coded = pa.array(flat, pa.string()).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            table = np.zeros((len(distinct), len(languages) + 1))
-            if distinct:
-                table[:, :-1] = lattice.log_probability(distinct, shares)
-                table[:, -1] = list(map(len, distinct))
-            return segment_sums(table[coded.indices.to_numpy(zero_copy_only=False)], ends)
-
-        memo = Memo(fill)
+        posteriors = _scorer(model)
 
         def work(ids, texts):
-            words = space_words(texts)
-            rows = memo.look(words.distinct)
-            total = words.sums(rows) if len(words.codes) else np.zeros((len(texts), len(languages) + 1))
-            logs, letters = total[:, :-1], total[:, -1]
-            if not languages:
-                return [ids, [unknown] * len(texts), np.zeros(len(texts))]
-            best = logs.argmax(axis=1)
-            score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-            none = letters == 0
-            return [ids, [unknown if no else languages[b] for b, no in zip(best, none)], np.where(none, 0.0, score)]
+            best, score, none = posteriors(texts)
+            return [ids, [unknown if no else model[0][b] for b, no in zip(best, none)], np.where(none, 0.0, score)]
 
         return work
 
     kind = dict(docs.dtypes)[id_col]
     out = map_texts(docs, id_col, text_col, f"doc_id {kind}, lang_pred string, score double", make)
     return out.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def keep(docs: DataFrame, model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is found with a posterior of ``least``
+    or more; null texts and texts without a letter go."""
+
+    def make():
+        posteriors = _scorer(model)
+
+        def mask(texts):
+            _, score, none = posteriors(texts)
+            return ~none & (score >= least)
+
+        return mask
+
+    return keep_texts(docs, text_col, make)
+
+
+def _scorer(model):
+    """``texts -> (best language, its posterior, whether there is none)``."""
+    languages, pieces, shares = model
+    lattice = Lattice(pieces)
+
+    def fill(units: list[str]) -> np.ndarray:
+        """Log-probabilities of the units' words, and the number of letters."""
+        runs = [letter_runs(u) for u in units]
+        ends = np.cumsum([0, *map(len, runs)])
+        flat = [r for rs in runs for r in rs]
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        table = np.zeros((len(distinct), len(languages) + 1))
+        if distinct:
+            table[:, :-1] = lattice.log_probability(distinct, shares)
+            table[:, -1] = list(map(len, distinct))
+        return segment_sums(table[coded.indices.to_numpy(zero_copy_only=False)], ends)
+
+    memo = Memo(fill)
+
+    def posteriors(texts: pa.Array):
+        words = space_words(texts)
+        rows = memo.look(words.distinct)
+        total = words.sums(rows) if len(words.codes) else np.zeros((len(texts), len(languages) + 1))
+        logs, none = total[:, :-1], total[:, -1] == 0
+        if not languages:
+            return np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts), bool)
+        score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        return logs.argmax(axis=1), score, none
+
+    return posteriors

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from basalt.llm._text import bucket_of, map_texts, segment_sums, space_words
+from basalt.llm._text import bucket_of, keep_texts, map_texts, segment_sums, space_words
 from basalt.llm.toxicity import labelled_sample
 
 FEATURES = (
@@ -192,3 +192,8 @@ def score(docs: DataFrame, model: Additive, threshold: float = 0.3, id_col: str
     kind = dict(docs.dtypes)[id_col]
     out = map_texts(docs, id_col, text_col, f"doc_id {kind}, score double, predicted int", make)
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, model: Additive, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more."""
+    return keep_texts(docs, text_col, lambda: lambda texts: model.score(features_of(texts)) >= threshold)

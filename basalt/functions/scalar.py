@@ -117,10 +117,8 @@ def add_interval(x, months: int = 0, days: int = 0, seconds: float = 0) -> Colum
     """Date or timestamp plus an interval; a month's end is clamped.  A date
     stays a date unless seconds are added."""
     c = _col(x)
-    if months:
-        c = c + F.make_ym_interval(F.lit(0), F.lit(months))
-    if days:
-        c = c + F.make_dt_interval(F.lit(days))
+    if months or days:
+        c = c + F.make_interval(months=F.lit(months), days=F.lit(days))
     if seconds:
         c = c.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
     return c

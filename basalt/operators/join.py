@@ -26,7 +26,7 @@ def join(left: DataFrame, right: DataFrame, pairs: dict[str, str] | None = None,
 
 
 def estimated_bytes(rows: DataFrame) -> int:
-    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small_side(rows: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -108,7 +108,8 @@ def keep_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.A
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 class Words:

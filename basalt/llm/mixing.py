@@ -76,7 +76,8 @@ def mix(
 
     Without a budget it is the smallest that shows every row at least once.
     Rows without a source form a source; rows without an id have an equal
-    place in the permutation.  ``tokens`` must be 1 at least.
+    place in the permutation.  ``tokens`` must be 1 at least.  Columns of
+    ``docs`` may have any names but those three.
     """
     spark = docs.sparkSession
     place = shared_dir(spark, "mixing")
@@ -106,12 +107,13 @@ def mix(
     placed = spark.read.parquet(f"{place}/blocks")
     # Rows meet the blocks' places; a block has about rows_per_block rows, so no key is hot.
     spread = placed.select("_key", "blocks").distinct()
-    marked = docs.withColumns({"_key": key, "_word": word, "_tokens": tokens}).join(F.broadcast(spread) if plan.count() <= 10_000 else spread, "_key")
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # whatever names the columns have
+    marked = docs.select(packed, row_id.alias("_id"), key.alias("_key"), word.alias("_word"), tokens.alias("_tokens")).join(F.broadcast(spread) if plan.count() <= 10_000 else spread, "_key")
     marked = marked.withColumn("_block", F.col("_word") % F.col("blocks")).drop("blocks")
     met = marked.join(placed.drop("blocks"), ["_key", "_block"])
-    inner = Window.partitionBy("_key", "_block", "_epoch").orderBy(_hash(row_id, "_epoch"), row_id, "_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_key", "_block", "_epoch").orderBy(_hash("_id", "_epoch"), "_id", "_tokens").rowsBetween(Window.unboundedPreceding, -1)
     met = met.withColumn("_start", F.col("_at") + F.coalesce(F.sum("_tokens").over(inner), F.lit(0)))
-    return met.filter(F.col("_start") < F.col("quota")).select(*docs.columns, "_tokens", "_epoch", "_start")
+    return met.filter(F.col("_start") < F.col("quota")).select("_row.*", "_tokens", "_epoch", "_start")
 
 
 def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -76,12 +76,13 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 class Machine:
-    """Weights of the ``most`` terms that tell most about the label (by the
-    likelihood ratio of their presence), among those that enough training texts
-    have; all others weigh nothing."""
+    """Weights of the terms that tell about the label: at most ``most``, those
+    with the largest likelihood ratio of their presence, if it is no accident
+    (``gain`` or more) and ``least`` training texts have them; all others weigh
+    nothing."""
 
-    def __init__(self, factors: int = 8, least: int = 4, most: int = 4096, epochs: int = 20, rate: float = 0.1, l2: float = 1e-5, seed: int = 7):
-        self.factors, self.least, self.most, self.epochs, self.rate, self.l2, self.seed = factors, least, most, epochs, rate, l2, seed
+    def __init__(self, factors: int = 8, least: int = 4, gain: float = 5.0, most: int = 4096, epochs: int = 20, rate: float = 0.1, l2: float = 1e-5, seed: int = 7):
+        self.factors, self.least, self.gain, self.most, self.epochs, self.rate, self.l2, self.seed = factors, least, gain, most, epochs, rate, l2, seed
         self.bias, self.index = 0.0, {}
         self.w, self.v = np.zeros(0), np.zeros((0, factors))
 
@@ -95,7 +96,7 @@ class Machine:
             return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
         gain = part(toxic, seen * share) + part(seen - toxic, seen * (1 - share))
-        live = np.flatnonzero(seen >= self.least)
+        live = np.flatnonzero((seen >= self.least) & (gain >= self.gain))
         return np.sort(live[np.argsort(-gain[live], kind="stable")[: self.most]])
 
     def raw(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:

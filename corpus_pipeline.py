@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeat up to twice, so that their tempered weights hold; the
     budget is the smallest that shows every document at least once."""
-    return mixing.mix(docs, mixing.word_tokens(), max_epochs=2.0).select(*docs.columns)
+    return mixing.mix(docs, mixing.word_tokens(), max_epochs=2.0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

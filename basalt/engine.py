@@ -7,9 +7,10 @@ transactions, COPY, prepared statements) are carried out here with DataFrames.
 
 from __future__ import annotations
 
-import re
+import json
 import uuid
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,6 +49,24 @@ class Prepared:
     types: list[str]
 
 
+class Portal:
+    """A bound statement whose rows are fetched in parts; Spark sends one
+    partition at a time."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self._left = None
+
+    def describe(self) -> list[tuple[str, str]]:
+        return self.rows.dtypes
+
+    def fetch(self, n: int | None = None) -> list[Any]:
+        """The next ``n`` rows, or all that are left."""
+        if self._left is None:
+            self._left = self.rows.toLocalIterator()
+        return list(self._left if n is None else islice(self._left, n))
+
+
 class Engine:
     """A database in a folder that driver and executors share."""
 
@@ -321,8 +340,6 @@ class Engine:
             schema = T.StructType([f for f in schema.fields if f.name != column.name])
         else:
             raise ValueError("ALTER TABLE takes ADD or DROP")
-        import json
-
         stored.commit(base, {"schema": json.loads(schema.json()), "add": [], "remove": []})
         self.results.invalidate(self.catalog.key(table.name))
         return self._done("ALTER TABLE")
@@ -580,6 +597,10 @@ class Engine:
             raise ValueError(f"statement {name} takes {wanted} parameters, not {len(params)}")
         return self.execute(p.statement, params)
 
+    def bind(self, name: str, params: list[Any] | tuple = ()) -> Portal:
+        """A portal over a prepared statement."""
+        return Portal(self.run(name, params))
+
     def _execute(self, ts: list[Token]) -> DataFrame:
         name = unquote(ts[1])
         given = split_at(ts[3 : dialect._match(ts, 2)]) if len(ts) > 2 else []

@@ -270,3 +270,109 @@ def index_layout(s, d):
     path = fresh(s, "basalt-layout")
     sorted_within(t(s, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").write.parquet(path)
     return scan.index_range(s.read.parquet(path), "o_custkey", 100, 200)
+
+
+@query("select_star", "SELECT * FROM supplier")
+def select_star(s, d):
+    return t(s, d, "supplier")
+
+
+both("select_star_and_alias", "SELECT s.*, s_acctbal * 2 AS twice FROM supplier AS s", "supplier")
+both("join_using", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS r_regionkey FROM nation) n JOIN region USING (r_regionkey)", "nation", "region")
+both("join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS r_regionkey FROM nation) n NATURAL JOIN region", "nation", "region")
+both("ext_lateral", "SELECT r_name, n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) x", "region", "nation")
+both("ext_grouping_sets", "SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", "orders")
+both("ext_agg_filter", "SELECT o_orderstatus, CAST(count(*) FILTER (WHERE o_totalprice > 200000) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus", "orders")
+
+
+@query("ext_truncate", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey < 0")
+def ext_truncate(s, d):
+    e = _engine(s, d)
+    e.sql("TRUNCATE TABLE ord")
+    return e.sql("SELECT count(*) AS n FROM ord")
+
+
+@query("ext_serial", "SELECT CAST(row_number() OVER () AS INTEGER) AS id FROM (SELECT 1 FROM orders WHERE o_orderkey <= 200) x")
+def ext_serial(s, d):
+    """SERIAL columns number rows without gaps, over any number of partitions."""
+    e = _engine(s, d)
+    e.sql("CREATE TABLE numbered (id SERIAL, price DOUBLE)")
+    e.register("wide", t(s, d, "orders").filter("o_orderkey <= 200").repartition(7))
+    e.sql("INSERT INTO numbered (price) SELECT o_totalprice FROM wide")
+    return e.sql("SELECT id FROM numbered")
+
+
+@query("dml_delete_set_null", f"SELECT id, CASE WHEN cust % 5 = 0 THEN NULL ELSE cust END AS cust FROM ({_DML}) x")
+def dml_delete_set_null(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE TABLE loose (id BIGINT, cust BIGINT REFERENCES cust(id) ON DELETE SET NULL)")
+    e.sql("INSERT INTO loose SELECT id, cust FROM ord")
+    e.sql("DELETE FROM cust WHERE id % 5 = 0")
+    return e.sql("SELECT id, cust FROM loose")
+
+
+@query("ddl_unique_index", "SELECT 'refused' AS outcome")
+def ddl_unique_index(s, d):
+    from basalt.constraints import ConstraintError
+
+    e = _engine(s, d)
+    e.sql("CREATE UNIQUE INDEX one ON ord USING BTREE (id)")
+    try:
+        e.sql("INSERT INTO ord SELECT id, cust, price FROM ord")
+        outcome = "accepted"
+    except ConstraintError:
+        outcome = "refused"
+    return scan.values(s, [(outcome,)], "outcome string")
+
+
+@query("partial_index_layout", f"SELECT id, price FROM ({_DML}) x WHERE price > 150000")
+def partial_index_layout(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE INDEX dear ON ord (id) INCLUDE (price) WHERE price > 150000")
+    return e.layout("dear")
+
+
+@query("index_advice", "SELECT * FROM (VALUES ('orders', 'covering', 'o_custkey,o_orderdate', 'o_totalprice', 'high')) v(table_name, kind, columns, include, priority)")
+def index_advice(s, d):
+    from basalt.advisor import Pattern, recommend
+
+    made = recommend([Pattern("orders", ("o_custkey",), ("o_orderdate",), ("o_totalprice",))] * 6)
+    return scan.values(s, [(r.table, r.kind, ",".join(r.columns), ",".join(r.include), r.priority) for r in made], "table_name string, kind string, columns string, include string, priority string")
+
+
+@query("explain_analyze_rows", "SELECT CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_totalprice > 100000")
+def explain_analyze_rows(s, d):
+    """The row count that EXPLAIN ANALYZE tells."""
+    from basalt.engine import Engine
+
+    e = Engine(s, "")
+    e.register("orders", t(s, d, "orders"))
+    plan = e.sql("EXPLAIN ANALYZE SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
+    return plan.filter("plan LIKE 'Rows: %'").select(F.regexp_extract("plan", r"Rows: (\d+)", 1).cast("bigint").alias("n"))
+
+
+@query("version_history", f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN id % 4 = 0 THEN 1 END) AS BIGINT) AS gone FROM ({_DML}) x")
+def version_history(s, d):
+    e = _engine(s, d)
+    e.sql("DELETE FROM ord WHERE id % 4 = 0")
+    return e.tables["ord"].history().agg(F.count("*").alias("n"), F.count("_deleted").alias("gone"))
+
+
+@query("time_travel", _DML)
+def time_travel(s, d):
+    e = _engine(s, d)
+    before = e.tables["ord"].version()
+    e.sql("UPDATE ord SET price = 1")
+    return e.query("SELECT id, cust, price FROM ord", as_of={"ord": before})
+
+
+@query("portal_fetch", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 8")
+def portal_fetch(s, d):
+    """Two partial fetches of a bound statement."""
+    from basalt.engine import Engine
+
+    e = Engine(s, "")
+    e.register("nation", t(s, d, "nation"))
+    e.prepare("all", "SELECT n_nationkey FROM nation WHERE n_nationkey >= $1 ORDER BY n_nationkey")
+    portal = e.bind("all", (0,))
+    return scan.values(s, [tuple(r) for r in portal.fetch(5) + portal.fetch(3)], "n_nationkey int")

@@ -100,7 +100,7 @@ def ext_stream_tumbling(s: SparkSession, d: str) -> DataFrame:
     return S.tumbling_counts(s, f"{d}/events.parquet", "1 hour")
 
 
-_DML = "SELECT o_orderkey AS id, o_custkey AS cust, o_totalprice AS price FROM orders WHERE o_orderkey <= 200"
+_DML = "SELECT o_orderkey AS id, o_custkey AS cust, o_totalprice AS price FROM orders"
 
 
 def _engine(s: SparkSession, d: str):
@@ -118,10 +118,10 @@ def _engine(s: SparkSession, d: str):
     return e
 
 
-@query("dml_insert", f"{_DML} UNION ALL SELECT 100000, 1, 5.5")
+@query("dml_insert", f"{_DML} UNION ALL SELECT 100000000, 1, 5.5")
 def dml_insert(s, d):
     e = _engine(s, d)
-    e.sql("INSERT INTO ord VALUES (100000, $1, 5.5)", (1,))
+    e.sql("INSERT INTO ord VALUES (100000000, $1, 5.5)", (1,))
     return e.sql("SELECT id, cust, price FROM ord")
 
 
@@ -292,12 +292,12 @@ def ext_truncate(s, d):
     return e.sql("SELECT count(*) AS n FROM ord")
 
 
-@query("ext_serial", "SELECT CAST(row_number() OVER () AS INTEGER) AS id FROM (SELECT 1 FROM orders WHERE o_orderkey <= 200) x")
+@query("ext_serial", "SELECT CAST(row_number() OVER () AS INTEGER) AS id FROM orders")
 def ext_serial(s, d):
     """SERIAL columns number rows without gaps, over any number of partitions."""
     e = _engine(s, d)
     e.sql("CREATE TABLE numbered (id SERIAL, price DOUBLE)")
-    e.register("wide", t(s, d, "orders").filter("o_orderkey <= 200").repartition(7))
+    e.register("wide", t(s, d, "orders").repartition(7))
     e.sql("INSERT INTO numbered (price) SELECT o_totalprice FROM wide")
     return e.sql("SELECT id FROM numbered")
 

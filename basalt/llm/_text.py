@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
-CACHE_WORDS = 300_000
+SLICE_BYTES = 4 << 20
+CACHE_WORDS = 150_000
+BATCH_BYTES = 16 << 20  # of text that Spark hands to Python at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,18 @@ def bucket_of(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % modulus
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch to ``BATCH_BYTES``:
+    with long documents, a batch of the default size and its copies would take
+    most of the memory that a Python worker has."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[-1:], 1)
+    number = now.rstrip("kmg")
+    if not number.isdigit() or not 0 < int(number) * scale <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about ``limit`` bytes of text each."""
     if not batch.num_rows:
@@ -77,6 +90,7 @@ def map_texts(
 
     ``make`` runs once per task, so that caches live as long as the task.
     """
+    small_batches(docs.sparkSession)
     out_names = [c.split()[0] for c in schema.split(",")]
     ids = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
 
@@ -86,6 +100,7 @@ def map_texts(
             for part in slices(batch, "_text", limit):
                 columns = work(part.column("_id"), part.column("_text"))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], out_names)
+            pa.default_memory_pool().release_unused()
 
     return ids.mapInArrow(run, schema)
 
@@ -95,18 +110,17 @@ def keep_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.A
 
     Works by position, so other columns may have any names; nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):
         keep = make()
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["_text"])
-            at, masks = 0, []
-            for part in slices(named, "_text", limit):
-                masks.append(np.asarray(keep(part.column("_text")), bool))
-                at += part.num_rows
+            masks = [np.asarray(keep(part.column("_text")), bool) for part in slices(named, "_text", limit)]
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
+            pa.default_memory_pool().release_unused()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -66,7 +66,7 @@ class Lattice:
         at = 0
         while at < len(order):
             n = size[order[at]]
-            to = min(int(np.searchsorted(size[order], n, "right")), at + 50_000)
+            to = min(int(np.searchsorted(size[order], n, "right")), at + 16_384)  # words at a time
             rows = order[at:to]
             text = "".join(START + words[i] for i in rows)
             chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(rows), n + 1)

@@ -26,6 +26,7 @@ from basalt.llm._text import map_texts, segment_sums, shared_dir
 
 SEGMENTS = 2  # of 32 bits each
 SEED = 42
+PART = 1 << 15  # fingerprints whose keys one task enumerates
 
 
 def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -79,9 +80,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """``a, b``: links among distinct fingerprints, ``b`` the smallest of a key's members."""
     width = 64 // SEGMENTS
+    # Each fingerprint becomes 65 keys, so a few megabytes of them are dealt over many tasks.
+    distinct = distinct.repartition(distinct.count() // PART + 1, fp)
     balls = [f"transform(sequence({s * width}, {s * width + width - 1}), i -> {fp} ^ shiftleft(1L, i))" for s in range(SEGMENTS)]
     keyed = distinct.select(F.col(fp), F.expr(f"explode(concat(array({fp}), {', '.join(balls)}))").alias("key"))
-    tables = keyed.groupBy("key").agg(F.collect_set(fp).alias("members")).filter(F.size("members") > 1)
+    # Most keys have one member: sets built before the shuffle would only be larger than the rows.
+    tables = keyed.repartition("key").groupBy("key").agg(F.collect_set(fp).alias("members")).filter(F.size("members") > 1)
     pairs = tables.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).filter("a != b")
     return pairs.filter(F.expr("bit_count(a ^ b) <= 2")).select("a", "b").distinct()
 

@@ -114,8 +114,9 @@ def search(
 
     Ties go to the smaller id.  Vectors that are null, empty or zero or hold
     null or non-finite components take no part, nor do rows without an id;
-    vectors of different lengths are never neighbours.  An empty table gives no
-    rows.
+    vectors of different lengths are never neighbours.  A query whose buckets
+    hold fewer than ``k`` rows gets its nearest by a scan of all rows of its
+    length: all of them, where there are fewer.  An empty table gives no rows.
     """
     spark = vectors.sparkSession
     place = shared_dir(spark, "ann")
@@ -174,9 +175,30 @@ def search(
                 out += [(one, ids[i].item(), float(d[i])) for i in near[: k + 1]]
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("q", asked["rep"].type), ("rep", asked["rep"].type), ("dist", pa.float64())))})
 
-    found = probes.groupBy(*key).cogroup(table.groupBy(*key)).applyInArrow(rerank, f"q {kind['rep']}, rep {kind['rep']}, dist double")
-    found = found.groupBy("q", "rep").agg(F.min("dist").alias("dist"))  # several tables may find a row
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("dist", "rep"))).filter(F.col("n") <= k + 1)
+    def nearest(found: DataFrame) -> DataFrame:
+        found = found.groupBy("q", "rep").agg(F.min("dist").alias("dist"))  # several tables may find a row
+        return found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("dist", "rep"))).filter(F.col("n") <= k + 1)
+
+    ranked = f"q {kind['rep']}, rep {kind['rep']}, dist double"
+    nearest(probes.groupBy(*key).cogroup(table.groupBy(*key)).applyInArrow(rerank, ranked)).write.parquet(f"{place}/found")
+    best = spark.read.parquet(f"{place}/found")
+    # Queries whose buckets held fewer rows than they are owed (itself included) scan all rows of their length.
+    held = few.groupBy("rep").agg(F.count("*").alias("held"))
+    got = best.join(held, "rep").groupBy("q").agg(F.sum("held").alias("got"))
+    dims = few.groupBy("dim").agg(F.count("*").alias("all"), F.ceil(F.count_if(F.col("n") == 1) / BLOCK_ROWS).cast("int").alias("blocks"))
+    short = reps.filter("asked").join(got, F.col("rep") == F.col("q"), "left").join(dims, "dim")
+    short.filter(F.coalesce("got", F.lit(0)) < F.least(F.lit(k + 1), "all")).select("rep", "dim", "vec", "blocks").write.parquet(f"{place}/short")
+    short = spark.read.parquet(f"{place}/short")
+    if not short.isEmpty():
+        parts = short.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("parts"), F.first("blocks").alias("blocks"))
+        asked = short.join(parts.drop("blocks"), "dim").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        asked = asked.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        every = reps.drop("asked").join(parts, "dim").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        every = every.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+        scan = ["dim", "block", "part"]
+        sides = [x.select("rep", "vec", *scan).groupBy(*scan) for x in (asked, every)]
+        scanned = nearest(sides[0].cogroup(sides[1]).applyInArrow(rerank, ranked))
+        best = best.join(short, best.q == short.rep, "left_anti").unionByName(scanned)
     members = few.select("rep", F.col("id").alias("vec_id"))
     listed = best.drop("n").join(members, "rep").groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "vec_id"))), 1, k + 1).alias("near"))
     # every query row of a vector gets its list, without itself

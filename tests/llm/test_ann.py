@@ -85,3 +85,23 @@ def test_fewer_candidates_than_k(spark, k):
     x = np.eye(4)[:3]
     got = lists(ann.search(frame(spark, x), "id = 0", k=k, probe_share=1.0))
     assert len(got[0]) == min(k, 2)
+
+
+def test_queries_with_few_rows_in_their_buckets_scan_all(spark, monkeypatch):
+    """Rare lengths and outliers beside a dense cluster, with the query's own parameters."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 512)
+    rng = np.random.default_rng(4)
+    sets = [rng.normal(size=(n, dim)) for dim in range(20, 32) for n in (3 + dim % 9,)]
+    sets.append(np.concatenate([rng.normal(size=(3, 64)), rng.normal(size=(1, 64)) + rng.normal(size=(2000, 64)) * 1e-3]))
+    rows, wanted = [], {}
+    for s, x in enumerate(sets):
+        x = x.astype(np.float32).astype(float)
+        ids = np.concatenate([100 * (3 * s + np.arange(3)), 100_001 + 100_000 * s + 2 * np.arange(len(x) - 3)])
+        wanted |= {int(ids[i]): [v for v, _ in brute(x, ids, i, 10)] for i in range(3)}
+        rows += [(int(i), [float(v) for v in row], "e", 1) for i, row in zip(ids, x)]
+    got = lists(ann.search(spark.createDataFrame(rows, SCHEMA), "id % 100 = 0", k=10))
+    assert got.keys() == wanted.keys()
+    for q, near in wanted.items():
+        assert len(got[q]) == len(near)
+        if len(near) < 10:
+            assert [v for _, v, _ in got[q]] == near

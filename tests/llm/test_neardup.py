@@ -74,3 +74,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == odd_docs.columns and len(ids) == len(set(ids)) and None in ids
     assert neardup.keep_one(no_docs).count() == 0
+
+
+def test_texts_of_one_id(spark):
+    """(3, A), (3, B), (7, B'): neither text vanishes, and no group goes with another's id."""
+    rng = random.Random(10)
+    a, b = prose(rng, 150), prose(rng, 150)
+    rows = [(3, a), (3, b), (7, edited(rng, b, 2)), (3, b)]
+    assert sorted((r.doc_id, r.text) for r in stage(spark, rows).collect()) == sorted([(3, a), (3, b)])

@@ -53,11 +53,13 @@ class ResultCache:
     """Persisted results by statement and the versions of the tables it reads.
 
     Results stay in Spark's storage (memory, then disk); an entry goes when it
-    is too old, when there are too many, or when a table it read has changed.
+    is too old, when there are too many or they hold too many bytes, or when a
+    table it read has changed.  A result of more bytes than all may hold is
+    computed, but not kept.
     """
 
-    def __init__(self, entries: int = 1000, seconds: float = 300.0):
-        self.entries, self.seconds, self.stats = entries, seconds, CacheStats()
+    def __init__(self, entries: int = 1000, seconds: float = 300.0, most_bytes: int = 64 << 20):
+        self.entries, self.seconds, self.most_bytes, self.stats = entries, seconds, most_bytes, CacheStats()
         self._held: OrderedDict[Any, tuple[float, frozenset[str], DataFrame]] = OrderedDict()
 
     def get(self, key: Any, tables: frozenset[str], make: Callable[[], DataFrame]) -> DataFrame:
@@ -68,11 +70,20 @@ class ResultCache:
             return held[2]
         self.stats.misses += 1
         self._drop(key)
-        self._held[key] = (now, tables, make().persist())
-        while len(self._held) > self.entries:
+        made = make().persist()
+        made.count()  # the size is known once it is stored
+        self._held[key] = (now, tables, made)
+        while self._held and (len(self._held) > self.entries or self.held_bytes() > self.most_bytes):
             self.stats.evictions += 1
             self._drop(next(iter(self._held)))
-        return self._held[key][2]
+        return made
+
+    @staticmethod
+    def size_of(rows: DataFrame) -> int:
+        return int(str(rows._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
+
+    def held_bytes(self) -> int:
+        return sum(self.size_of(held[2]) for held in self._held.values())
 
     def invalidate(self, table: str) -> None:
         for key in [k for k, v in self._held.items() if table in v[1]]:

@@ -23,6 +23,7 @@ class ForeignKey:
     parent: str
     parent_columns: list[str]
     on_delete: str = "NO ACTION"
+    on_update: str = "NO ACTION"
 
 
 @dataclass

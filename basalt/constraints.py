@@ -50,6 +50,15 @@ def foreign_key_violations(rows: DataFrame, parent: DataFrame, columns: list[str
     return full.join(keys, same, "left_anti")
 
 
+def referring(rows: DataFrame, parents: DataFrame, fk: ForeignKey) -> DataFrame:
+    """The rows of a child whose foreign key names one of the parent rows."""
+    keys = parents.select(*[F.col(f"`{p}`").alias(f"_p{i}") for i, p in enumerate(fk.parent_columns)]).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(fk.columns):
+        same = same & (rows[c] == keys[f"_p{i}"])
+    return rows.join(keys, same, "left_semi")
+
+
 def validate(table: Table, rows: DataFrame, whole: DataFrame, parents: Callable[[str], DataFrame], catalog: Catalog) -> None:
     """Raises ``ConstraintError`` if new ``rows`` break a constraint; ``whole``
     is the table with them."""
@@ -65,16 +74,17 @@ def validate(table: Table, rows: DataFrame, whole: DataFrame, parents: Callable[
         refuse(check_violations(rows, condition), f"CHECK constraint {name}")
     keys = [("primary key", table.primary_key)] if table.primary_key else []
     keys += [("UNIQUE", u) for u in table.unique]
-    keys += [(f"unique index {i.name}", i.columns) for i in catalog.indexes_of(table.name) if i.unique and not i.where]
-    for what, columns in keys:
+    unique = [(what, columns, None) for what, columns in keys]
+    unique += [(f"unique index {i.name}", i.columns, i.where) for i in catalog.indexes_of(table.name) if i.unique]
+    for what, columns, where in unique:
         # Only keys among the new rows can have become double.
-        new = rows.select(*[f"`{c}`" for c in columns]).distinct()
-        refuse(unique_violations(whole.join(new, columns, "left_semi"), columns), what)
+        new = (rows.filter(where) if where else rows).select(*[f"`{c}`" for c in columns]).distinct()
+        refuse(unique_violations((whole.filter(where) if where else whole).join(new, columns, "left_semi"), columns), what)
     for fk in table.foreign_keys:
         refuse(foreign_key_violations(rows, parents(fk.parent), fk.columns, fk.parent_columns), f"foreign key {fk.name}")
 
 
-def cascade(catalog: Catalog, table: str, gone: DataFrame, snapshot: Callable[[str], DataFrame], key: tuple[str, ...] = ("_v", "_i")):
+def cascade(catalog: Catalog, table: str, gone: DataFrame, snapshot: Callable[[str], DataFrame], key: tuple[str, ...] = ("_w", "_i")):
     """Referential actions of deleting rows ``gone`` of a table, to a fixpoint.
 
     Returns ``[(table, action, rows, foreign key)]`` with the rows of children
@@ -88,12 +98,7 @@ def cascade(catalog: Catalog, table: str, gone: DataFrame, snapshot: Callable[[s
     while todo:
         parent, rows = todo.pop(0)
         for child, fk in catalog.children(parent):
-            own = snapshot(child.name)
-            keys = rows.select(*[F.col(f"`{p}`").alias(f"_p{i}") for i, p in enumerate(fk.parent_columns)]).distinct()
-            same = F.lit(True)
-            for i, c in enumerate(fk.columns):
-                same = same & (own[c] == keys[f"_p{i}"])
-            hit = own.join(keys, same, "left_semi")
+            hit = referring(snapshot(child.name), rows, fk)
             if (seen := marked.get(catalog.key(child.name))) is not None:
                 hit = hit.join(seen, list(key), "left_anti")
             if hit.isEmpty():

@@ -111,8 +111,8 @@ def _match(ts: list[Token], at: int) -> int:
     raise ValueError("brackets do not match")
 
 
-def _operand_start(ts: list[Token]) -> int:
-    """Where the operand before an IN begins in the tokens so far."""
+def _operand_start(ts: list[Token], names=lambda t: not t.is_("AND", "OR", "WHERE", "ON", "NOT")) -> int:
+    """Where the operand before an IN (or an operator) begins in the tokens so far."""
     i = len(ts) - 1
     if ts[i].is_("NOT"):
         i -= 1
@@ -123,17 +123,65 @@ def _operand_start(ts: list[Token]) -> int:
             if depth == 0:
                 break
             i -= 1
-        if i and ts[i - 1].kind == "word" and not ts[i - 1].is_("AND", "OR", "WHERE", "ON", "NOT"):
+        if i and ts[i - 1].kind == "word" and names(ts[i - 1]):
             i -= 1
     while i >= 2 and ts[i - 1].text == ".":
         i -= 2
     return i
 
 
+def _names(t: Token) -> bool:
+    """Whether a word before a bracket is a function's name."""
+    return not t.is_("AND", "OR", "WHERE", "ON", "NOT", "SELECT", "WHEN", "THEN", "ELSE", "BY", "HAVING", "CASE", "IN")
+
+
+def _operand_end(ts: list[Token], at: int) -> int:
+    """Where the operand that begins at ``at`` ends: a sign, then a value, a
+    name, a call or a bracket."""
+    at += ts[at].text in ("+", "-")
+    if ts[at].text != "(":
+        at += 1
+        while at + 1 < len(ts) and ts[at].text == ".":
+            at += 2
+    return _match(ts, at) + 1 if at < len(ts) and ts[at].text == "(" else at
+
+
+#: Functions whose rules differ from Spark's: SQL text from the arguments' text.
+FUNCTIONS = {
+    "SQRT": lambda x: f"(CASE WHEN CAST({x} AS DOUBLE) < 0 THEN CAST(raise_error('SQRT of a negative number') AS DOUBLE) ELSE sqrt({x}) END)",
+    "POWER": lambda x, y: f"(CASE WHEN isnan(pow({x}, {y})) OR abs(pow({x}, {y})) = double('Infinity') THEN CAST(raise_error('POWER has no finite result') AS DOUBLE) ELSE pow({x}, {y}) END)",
+    "ROUND": lambda x, n="0": f"CAST(round({x}, {n}) AS DOUBLE)",
+    "FLOOR": lambda x: f"CAST(floor({x}) AS DOUBLE)",
+    "CEIL": lambda x: f"CAST(ceil({x}) AS DOUBLE)",
+    "LENGTH": lambda x: f"CAST(length({x}) AS BIGINT)",
+    "SUBSTRING": lambda x, at, n=None: f"substring({x}, " + (at if at.isdigit() and at != "0" else f"if(({at}) = 0, 1, {at})") + (f", greatest({n}, 0))" if n else ")"),
+    "TRIM": lambda x: rf"regexp_replace({x}, '(?U)^\\s+|(?U)\\s+$', '')",
+    "LTRIM": lambda x: rf"regexp_replace({x}, '^[ \\t\\n\\r]+', '')",
+    "RTRIM": lambda x: rf"regexp_replace({x}, '[ \\t\\n\\r]+$', '')",
+}
+ALIASES = {"POW": "POWER", "CEILING": "CEIL", "LEN": "LENGTH", "SUBSTR": "SUBSTRING"}
+
+
+def _call(name: str, inner: list[Token]) -> str | None:
+    """Spark SQL for a call of a function of ``FUNCTIONS``; None for forms with
+    keywords of their own (TRIM BOTH ..., SUBSTRING of another form)."""
+    if name == "SUBSTRING" and (at := find(inner, "FROM")) < len(inner):
+        end = find(inner, "FOR")
+        args = [inner[:at], inner[at + 1 : end]] + ([inner[end + 1 :]] if end < len(inner) else [])
+    elif any(t.is_("BOTH", "LEADING", "TRAILING", "FROM", "TO") for t in inner):
+        return None
+    else:
+        args = split_at(inner)
+    try:
+        return FUNCTIONS[name](*[to_spark(a) for a in args])
+    except TypeError:  # another number of arguments: Spark tells
+        return None
+
+
 def to_spark(sql: str | Iterable[Token]) -> str:
     """Spark SQL for a query text: quoted identifiers, ``$n`` parameters (as
-    ``:pn``), ``IN ()``, mixed intervals, date literals in three layouts and
-    STDDEV (population, as the dialect has it)."""
+    ``:pn``), ``IN ()``, mixed intervals, date literals in three layouts, STDDEV
+    (population, as the dialect has it) and functions with rules of their own."""
     ts = tokens(sql) if isinstance(sql, str) else list(sql)
     out: list[Token] = []
     i = 0
@@ -148,13 +196,27 @@ def to_spark(sql: str | Iterable[Token]) -> str:
             out.append(Token("word", f":p{t.text[1:]}"))
         elif t.is_("STDDEV") and nxt and nxt.text == "(":
             out.append(Token("word", "stddev_pop"))
-        elif t.is_("LEN", "UCASE", "LCASE") and nxt and nxt.text == "(":
-            out.append(Token("word", {"LEN": "length", "UCASE": "upper", "LCASE": "lower"}[t.text.upper()]))
+        elif t.is_("UCASE", "LCASE") and nxt and nxt.text == "(":
+            out.append(Token("word", {"UCASE": "upper", "LCASE": "lower"}[t.text.upper()]))
+        elif t.is_(*FUNCTIONS, *ALIASES) and nxt and nxt.text == "(" and (call := _call(ALIASES.get(t.text.upper(), t.text.upper()), ts[i + 2 : _match(ts, i + 1)])):
+            out.append(Token("word", call))
+            i = _match(ts, i + 1)
         elif t.is_("INTERVAL") and nxt and nxt.kind == "string":
             text = unquote(nxt)
             unit = ts[i + 2] if i + 2 < len(ts) and ts[i + 2].text.lower() in UNITS else None
             parts = interval_parts(f"{text} {unit.text}" if unit else text)
             i += 1 + bool(unit)
+            if out and out[-1].text == "*":  # a factor holds for every part
+                out.pop()
+                start = _operand_start(out, _names)
+                factor = render(out[start:])
+                del out[start:]
+                parts = [f"{factor} * {p}" for p in parts]
+            while i + 2 < len(ts) and ts[i + 1].text in ("*", "/"):
+                end = _operand_end(ts, i + 2)
+                factor = to_spark(ts[i + 2 : end])
+                parts = [f"{p} {ts[i + 1].text} {factor}" for p in parts]
+                i = end - 1
             sign = out[-1].text if out and out[-1].text in "+-" else "+"
             out.append(Token("word", f" {sign} ".join(parts)))
         elif t.is_("DATE") and nxt and nxt.kind == "string":

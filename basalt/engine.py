@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import islice
+from operator import and_, or_
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,14 +25,15 @@ from basalt.cache import PlanCache, ResultCache
 from basalt.catalog import Catalog, Column, ForeignKey, Index, Table
 from basalt.dialect import Token, find, render, split_at, to_spark, tokens, unquote
 from basalt.sources import copy as files
-from basalt.sources.versioned import ROW_KEY, CommitConflict, VersionedTable
+from basalt.sources.versioned import ROW_KEY, SYSTEM, CommitConflict, LogStore, VersionedTable
 from basalt.types import SERIALS, spark_type, stored_type
 
+WRITE_ATTEMPTS, COMMIT_ATTEMPTS = 5, 20
 LEVELS = {"READ UNCOMMITTED", "READ COMMITTED", "REPEATABLE READ", "SERIALIZABLE"}
 
 
 class SerializationError(RuntimeError):
-    """Concurrent transactions changed the same table."""
+    """Concurrent transactions changed the same rows (or, when serializable, tables)."""
 
 
 @dataclass
@@ -37,9 +41,14 @@ class Transaction:
     """Snapshot versions and staged changes of an open transaction."""
 
     level: str
-    versions: dict[str, int]
-    staged: dict[str, dict[str, list[str]]] = field(default_factory=dict)
-    changed: set[str] = field(default_factory=set)  # tables with updates or deletes
+    versions: dict[str, int]  # at BEGIN
+    staged: dict[str, dict[str, Any]] = field(default_factory=dict)  # table -> add, remove: folders; base: version they were made at
+    seen: dict[str, int] = field(default_factory=dict)  # versions that the current statement reads
+    read: dict[str, int] = field(default_factory=dict)  # earliest version read of each table
+
+    @property
+    def fixed(self) -> bool:
+        return self.level in ("REPEATABLE READ", "SERIALIZABLE")
 
 
 @dataclass
@@ -80,7 +89,6 @@ class Engine:
         self.statistics: dict[str, DataFrame] = {}
         self.transaction: Transaction | None = None
         self.open: list[Transaction] = []
-        self._rows_changed = 0
 
     # ---- sessions on the same database ----
 
@@ -96,16 +104,21 @@ class Engine:
 
     # ---- reading ----
 
+    def _version(self, key: str) -> int:
+        """The version of a table that the current statement reads: one for a
+        statement, and in fixed snapshots one for the transaction."""
+        t = self.transaction
+        if key not in t.seen:
+            t.seen[key] = t.versions[key] if t.fixed and key in t.versions else self.tables[key].version()
+        t.read.setdefault(key, t.seen[key])
+        return t.seen[key]
+
     def snapshot(self, name: str, keys: bool = False) -> DataFrame:
         """Rows of a table as the current statement sees them."""
         key = self.catalog.key(name)
-        t = self.transaction
-        version, staged = None, None
-        if t:
-            staged = t.staged.get(key)
-            if t.level in ("REPEATABLE READ", "SERIALIZABLE"):
-                version = t.versions.get(key)
-        return self.tables[key].snapshot(version, staged, keys)
+        if not self.transaction:
+            return self.tables[key].snapshot(None, None, keys)
+        return self.tables[key].snapshot(self._version(key), self.transaction.staged.get(key), keys)
 
     def _bind(self, ts: list[Token], as_of: dict[str, int] | None = None) -> frozenset[str]:
         """Creates the views that a query's words name; returns the tables among them."""
@@ -144,6 +157,8 @@ class Engine:
         if not ts:
             raise ValueError("empty statement")
         head = [t.text.upper() for t in ts[:3]] + ["", ""]
+        if self.transaction and not self.transaction.fixed:
+            self.transaction.seen = {}  # every statement reads what is committed by now
         if head[0] in ("SELECT", "WITH", "VALUES", "("):
             return self.query(ts, params)
         handlers = {
@@ -151,10 +166,11 @@ class Engine:
             ("CREATE", "UNIQUE"): self._create_index, ("DROP", "INDEX"): self._drop_index,
         }
         if handler := handlers.get((head[0], head[1])):
+            self.plans.clear()
             return handler(ts)
         single = {
-            "INSERT": lambda: self._insert(ts, params), "UPDATE": lambda: self._update(ts, params), "DELETE": lambda: self._delete(ts, params), "TRUNCATE": lambda: self._truncate(ts),
-            "COPY": lambda: self._copy(ts), "ANALYZE": lambda: self._analyze(ts), "VACUUM": lambda: self._vacuum(ts), "PREPARE": lambda: self._prepare(ts),
+            "INSERT": lambda: self._write(self._insert, ts, params), "UPDATE": lambda: self._write(self._update, ts, params),
+            "DELETE": lambda: self._write(self._delete, ts, params), "TRUNCATE": lambda: self._write(self._truncate, ts), "COPY": lambda: self._write(self._copy, ts), "ANALYZE": lambda: self._analyze(ts), "VACUUM": lambda: self._vacuum(ts), "PREPARE": lambda: self._prepare(ts),
             "EXECUTE": lambda: self._execute(ts), "DEALLOCATE": lambda: self._deallocate(ts), "EXPLAIN": lambda: self._explain(ts, params),
             "BEGIN": lambda: self._begin(ts), "START": lambda: self._begin(ts), "COMMIT": self._commit, "END": self._commit, "ROLLBACK": self._rollback,
         }
@@ -172,19 +188,102 @@ class Engine:
         level = next((x for x in sorted(LEVELS) if x in words), "READ COMMITTED")
         if self.transaction:
             raise RuntimeError("a transaction is open already")
+        self._start(level)
+        return self._done("BEGIN")
+
+    def _start(self, level: str) -> None:
         self.transaction = Transaction(level, {k: t.version() for k, t in self.tables.items()})
         self.open.append(self.transaction)
-        return self._done("BEGIN")
+
+    def _write(self, statement: Callable, *args) -> DataFrame:
+        """Runs a statement that changes tables: all of it or nothing.
+
+        Outside a transaction it is one of its own, and runs again on what is
+        committed by then if another writer changed the same rows meanwhile.
+        """
+        if t := self.transaction:
+            before = {k: v | {"add": [*v["add"]], "remove": [*v["remove"]]} for k, v in t.staged.items()}
+            try:
+                return statement(*args)
+            except Exception:
+                t.staged = before
+                raise
+        for left in reversed(range(WRITE_ATTEMPTS)):
+            self._start("READ COMMITTED")
+            try:
+                out = statement(*args)
+                self._commit()
+                return out
+            except SerializationError:
+                if not left:
+                    raise
+            finally:
+                self._close()
+        raise AssertionError("not reached")
 
     def _commit(self) -> DataFrame:
+        """Checks the staged changes against what was committed meanwhile, and
+        makes them visible at once.
+
+        A row that another transaction removed or updated since it was read is
+        a conflict, at every level.  Constraints are checked again where a table
+        that they involve has moved on.  Serializable transactions that write
+        also need every table that they read to be as it was.
+        """
         t = self._close()
-        if t:
-            for key in t.staged:
-                if t.level == "SERIALIZABLE" and self.tables[key].version() != t.versions.get(key):
-                    raise SerializationError(f"could not serialize access to {key}")
-            for key, staged in t.staged.items():
-                self._append(key, staged)
-        return self._done("COMMIT")
+        staged = {k: v for k, v in t.staged.items() if v["add"] or v["remove"]} if t else {}
+        if not staged:
+            return self._done("COMMIT")
+        for _ in range(COMMIT_ATTEMPTS):
+            tips = {k: self.tables[k].tip() for k in staged}
+            self._check(t, staged)
+            if len(staged) == 1:
+                ((key, entry),) = staged.items()
+                made = self._try(key, tips, {"add": entry["add"], "remove": entry["remove"]})
+            else:
+                home, name = f"{self.folder}/transactions", uuid.uuid4().hex
+                made = all(self._try(k, tips, {"add": e["add"], "remove": e["remove"], "txn": name, "home": home}) for k, e in sorted(staged.items()))
+                made = LogStore(self.spark, home).create(name, "committed" if made else "aborted") and made
+            if made:
+                for key in staged:
+                    self.results.invalidate(key)
+                return self._done("COMMIT")
+        raise CommitConflict(f"too many writers on {', '.join(staged)}")
+
+    def _try(self, key: str, tips: dict[str, int], entry: dict) -> bool:
+        try:
+            self.tables[key].commit(tips[key], entry)
+        except CommitConflict:
+            return False
+        return True
+
+    def _check(self, t: Transaction, staged: dict[str, dict]) -> None:
+        """Raises if staged changes cannot follow what is committed by now."""
+        now = {k: table.version() for k, table in self.tables.items()}
+        for key in t.read if t.level == "SERIALIZABLE" else ():
+            if now.get(key) != t.read[key]:
+                raise SerializationError(f"could not serialize access to {key}")
+        for key, entry in staged.items():
+            if key not in self.tables:
+                raise SerializationError(f"table {key} was dropped")
+            table = self.tables[key]
+            theirs = table.removed_since(entry["base"]) if entry["remove"] else []
+            if theirs and not table.keys(entry["remove"]).join(table.keys(theirs), list(ROW_KEY), "left_semi").isEmpty():
+                raise SerializationError(f"could not serialize access to {key}: a concurrent change")
+        moved = {k for k, v in now.items() if v != t.read.get(k, v)}
+        final = lambda name: self.tables[self.catalog.key(name)].snapshot(None, staged.get(self.catalog.key(name)))
+        for key, entry in staged.items():
+            meta, table = self.catalog.get(key), self.tables[key]
+            near = {key, *(self.catalog.key(fk.parent) for fk in meta.foreign_keys)}
+            if entry["add"] and moved & near:
+                rows = table.rows(entry["add"], entry["remove"], table.schema()).select(*meta.names)
+                constraints.validate(meta, rows, final(key), final, self.catalog)
+            for child, fk in self.catalog.children(key) if entry["remove"] else ():
+                if moved & {key, self.catalog.key(child.name)}:
+                    gone = table.rows(table._live(None)[0] + entry["add"], [], table.schema()).join(table.keys(entry["remove"]), list(ROW_KEY), "left_semi")
+                    touched = constraints.referring(final(child.name), gone, fk)
+                    if not constraints.foreign_key_violations(touched, final(key), fk.columns, fk.parent_columns).isEmpty():
+                        raise constraints.ConstraintError(f"foreign key {fk.name} of table {child.name} is violated")
 
     def _rollback(self) -> DataFrame:
         self._close()
@@ -196,30 +295,13 @@ class Engine:
             self.open.remove(t)
         return t
 
-    def _append(self, key: str, entry: dict) -> None:
-        """Commits staged folders behind whatever was committed meanwhile."""
-        table = self.tables[key]
-        for _ in range(20):
-            try:
-                table.commit(table.version(), {"add": entry["add"], "remove": entry["remove"]})
-                self.results.invalidate(key)
-                return
-            except CommitConflict:
-                continue
-        raise CommitConflict(f"too many writers on {key}")
-
     def _change(self, name: str, add: list[DataFrame] = (), remove: list[DataFrame] = ()) -> None:
-        """Stages rows to add and keys to remove, and commits outside transactions."""
+        """Stages rows to add and keys to remove in the open transaction."""
         key = self.catalog.key(name)
         table = self.tables[key]
-        version = table.version() + 1
-        entry = {"add": [table.stage_rows(a, version) for a in add], "remove": [table.stage_deletes(r) for r in remove]}
-        if self.transaction:
-            staged = self.transaction.staged.setdefault(key, {"add": [], "remove": []})
-            staged["add"] += entry["add"]
-            staged["remove"] += entry["remove"]
-        else:
-            self._append(key, entry)
+        entry = self.transaction.staged.setdefault(key, {"add": [], "remove": [], "base": self._version(key)})
+        entry["add"] = entry["add"] + [table.stage_rows(a) for a in add]
+        entry["remove"] = entry["remove"] + [table.stage_deletes(r) for r in remove]
 
     # ---- definitions ----
 
@@ -291,15 +373,14 @@ class Engine:
         if i < len(part) and part[i].text == "(":
             end = dialect._match(part, i)
             targets, i = [unquote(x[0]) for x in split_at(part[i + 1 : end])], end + 1
-        action = "NO ACTION"
+        actions = {"DELETE": "NO ACTION", "UPDATE": "NO ACTION"}
         while i < len(part) and part[i].is_("ON"):
             two = part[i + 2].is_("SET", "NO")
             said = " ".join(t.text.upper() for t in part[i + 2 : i + 3 + two])
-            if part[i + 1].is_("DELETE"):
-                action = said
+            actions[part[i + 1].text.upper()] = said
             i += 3 + two
         targets = targets or self.catalog.get(parent).primary_key
-        table.foreign_keys.append(ForeignKey(name or f"{table.name}_{columns[0]}_fkey", columns, parent, targets, action))
+        table.foreign_keys.append(ForeignKey(name or f"{table.name}_{columns[0]}_fkey", columns, parent, targets, actions["DELETE"], actions["UPDATE"]))
         return i
 
     def _drop_table(self, ts: list[Token]) -> DataFrame:
@@ -317,7 +398,7 @@ class Engine:
     def _alter_table(self, ts: list[Token]) -> DataFrame:
         table = self.catalog.get(unquote(ts[2]))
         stored = self.tables[self.catalog.key(table.name)]
-        base = stored.version()
+        base = stored.tip()
         schema = stored.schema()
         rest = ts[5:] if ts[4].is_("COLUMN") else ts[4:]
         if ts[3].is_("ADD"):
@@ -479,21 +560,46 @@ class Engine:
         hit.createOrReplaceTempView(f"{key}__hit")
         self._bind([t for t in ts[3:at] if self.catalog.key(unquote(t)) != key])
         shown = [f"CAST({updates[c.name]} AS {stored_type(c.type).simpleString()}) AS `{c.name}`" if c.name in updates else f"{key}.`{c.name}`" for c in table.columns]
-        text = f"SELECT {', '.join(shown)}, {key}._v AS _v, {key}._i AS _i FROM {key}__hit AS {key}"
+        shown += [f"{key}.{k}" for k in ROW_KEY] + [f"{key}.`{c}` AS `_old_{i}`" for i, c in enumerate(table.names)]
+        text = f"SELECT {', '.join(shown)} FROM {key}__hit AS {key}"
         args = {f"p{i}": v for i, v in enumerate(params, 1) if f":p{i}" in text}
         new = self._scratch(self.spark.sql(text, args=args) if args else self.spark.sql(text))
         n = new.count()
+        if n:
+            self._replace(table, new, set(updates))
+        return self._result(new.select(*table.names), wanted, "UPDATE", n)
+
+    def _replace(self, table: Table, new: DataFrame, updated: set[str]) -> None:
+        """Stages new versions of rows (with ``_old_i`` values and row keys), after
+        checks, and carries out the actions of foreign keys that refer to them."""
         keys, rows = new.select(*ROW_KEY), new.select(*table.names)
         left = self.snapshot(table.name, keys=True).join(keys, list(ROW_KEY), "left_anti").select(*table.names)
-        constraints.validate(table, rows, left.unionByName(rows), self.snapshot, self.catalog)
-        for child, fk in self.catalog.children(table.name):
-            if set(fk.parent_columns) & set(updates):
-                broken = constraints.foreign_key_violations(self.snapshot(child.name), left.unionByName(rows), fk.columns, fk.parent_columns)
-                if not broken.isEmpty():
-                    raise constraints.ConstraintError(f"foreign key {fk.name} of table {child.name} forbids the update")
-        if n:
-            self._change(table.name, add=[rows], remove=[keys])
-        return self._result(rows, wanted, "UPDATE", n)
+        follow = [(child, fk) for child, fk in self.catalog.children(table.name) if set(fk.parent_columns) & updated]
+        itself = [fk for child, fk in follow if child.name == table.name]
+        if itself and any(fk.on_update not in ("NO ACTION", "RESTRICT") for fk in itself):
+            raise constraints.ConstraintError(f"ON UPDATE {itself[0].on_update} of a table on itself is not carried out")
+        whole = left.unionByName(rows)
+        constraints.validate(table, rows, whole, lambda name: whole if self.catalog.key(name) == self.catalog.key(table.name) else self.snapshot(name), self.catalog)
+        self._change(table.name, add=[rows], remove=[keys])
+        for child, fk in follow:
+            old = [F.col(f"_old_{table.names.index(c)}") for c in fk.parent_columns]
+            changed = [~o.eqNullSafe(F.col(c)) for o, c in zip(old, fk.parent_columns)]
+            moved = new.filter(reduce(or_, changed)).select(*[o.alias(f"_from_{i}") for i, o in enumerate(old)], *[F.col(c).alias(f"_to_{i}") for i, c in enumerate(fk.parent_columns)])
+            # a key that another row has by now still has its parent
+            held = self.snapshot(table.name).select(*[F.col(c).alias(f"_from_{i}") for i, c in enumerate(fk.parent_columns)])
+            moved = moved.join(held, [f"_from_{i}" for i in range(len(old))], "left_anti")
+            hit = self.snapshot(child.name, keys=True)
+            hit = self._scratch(hit.join(moved, reduce(and_, [hit[c] == moved[f"_from_{i}"] for i, c in enumerate(fk.columns)])))
+            if hit.isEmpty():
+                continue
+            if fk.on_update in ("NO ACTION", "RESTRICT"):
+                raise constraints.ConstraintError(f"foreign key {fk.name} of table {child.name} forbids the update")
+            fill = {
+                "CASCADE": lambda c, i=fk.columns: F.col(f"_to_{i.index(c)}"), "SET NULL": lambda c: F.lit(None),
+                "SET DEFAULT": lambda c: F.expr(child.column(c).default or "NULL"),
+            }[fk.on_update]
+            shown = [(fill(c.name).cast(stored_type(c.type)) if c.name in fk.columns else F.col(c.name)).alias(c.name) for c in child.columns]
+            self._replace(child, hit.select(*shown, *ROW_KEY, *[F.col(c).alias(f"_old_{i}") for i, c in enumerate(child.names)]), set(fk.columns))
 
     def _delete(self, ts: list[Token], params: list[Any] | tuple) -> DataFrame:
         ts, wanted = self._returning(ts, None)
@@ -514,7 +620,7 @@ class Engine:
                 self._change(child, add=[new], remove=[rows])
         if n:
             self._change(table.name, remove=[gone])
-        return self._result(gone.drop(*ROW_KEY), wanted, "DELETE", n)
+        return self._result(gone.drop(*SYSTEM), wanted, "DELETE", n)
 
     def _without(self, name: str, table: str, gone: DataFrame) -> DataFrame:
         rows = self.snapshot(name, keys=True)
@@ -571,8 +677,8 @@ class Engine:
         rows = []
         for name in [unquote(rest[0])] if rest else list(self.tables):
             key = self.catalog.key(name)
-            oldest = min((t.versions.get(key, 0) for t in self.open), default=None)  # versions that open snapshots need
-            done = self.tables[key].vacuum(oldest)
+            needed = [v for t in self.open for v in (t.versions.get(key), t.seen.get(key)) if v is not None]  # what open snapshots read
+            done = self.tables[key].vacuum(needed)
             rows.append((name, done["rows_before"], done["rows_removed"], done["rows_after"], done["folders_before"], done["folders_after"]))
         if any(t.is_("ANALYZE") for t in ts):
             self._analyze([Token("word", "ANALYZE"), *rest])
@@ -628,16 +734,32 @@ class Engine:
                 analyze, verbose, as_json, i = analyze or "ANALYZE" in words, verbose or "VERBOSE" in words, "JSON" in words, end + 1
             else:
                 analyze, verbose, i = analyze or ts[i].is_("ANALYZE"), verbose or ts[i].is_("VERBOSE"), i + 1
-        rows = self.query(ts[i:], params)
-        lines = []
+        import time
+
+        ts, lines, began = ts[i:], [], time.perf_counter()
+        if ts[0].is_("INSERT", "UPDATE", "DELETE"):
+            rows, what = self._source(ts, params)
+            lines.append(what)
+            if analyze:
+                n = self.execute(ts, params).first()["rows"]
+        else:
+            rows = self.query(ts, params)
+            if analyze:
+                n = rows.count()
         if analyze:
-            import time
-
-            began = time.perf_counter()
-            n = rows.count()
-            lines.append(f"Rows: {n}; time: {(time.perf_counter() - began) * 1000:.1f} ms")
+            lines.insert(0, f"Rows: {n}; time: {(time.perf_counter() - began) * 1000:.1f} ms")
         execution = rows._jdf.queryExecution()
         plan = execution.explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended" if verbose else "formatted"))
         if as_json:
             return self.spark.createDataFrame([(execution.optimizedPlan().toJSON(),)], "plan string")
         return self.spark.createDataFrame([(x,) for x in [*lines, *plan.rstrip().split("\n")]], "plan string")
+
+    def _source(self, ts: list[Token], params: list[Any] | tuple) -> tuple[DataFrame, str]:
+        """The rows that a changing statement reads, and what it does with them."""
+        ts = ts[: find(ts, "RETURNING")]
+        name = unquote(ts[1] if ts[0].is_("UPDATE") else ts[2])
+        if ts[0].is_("INSERT"):
+            at = dialect._match(ts, 3) + 1 if ts[3].text == "(" and not ts[4].is_("SELECT", "WITH", "VALUES") else 3
+            return self.query(ts[at:], params), f"Insert on {name}"
+        rows = self._matching(self.catalog.get(name), ts[find(ts, "WHERE") + 1 :], params)
+        return rows, f"{ts[0].text.capitalize()} on {name}"

@@ -376,3 +376,169 @@ def portal_fetch(s, d):
     e.prepare("all", "SELECT n_nationkey FROM nation WHERE n_nationkey >= $1 ORDER BY n_nationkey")
     portal = e.bind("all", (0,))
     return scan.values(s, [tuple(r) for r in portal.fetch(5) + portal.fetch(3)], "n_nationkey int")
+
+
+# ---- transactions ----
+
+
+@query("txn_two_inserts_delete", f"{_DML} UNION ALL SELECT 100000002, 2, 2.5")
+def txn_two_inserts_delete(s, d):
+    """Two writes of one transaction have row keys of their own."""
+    e = _engine(s, d)
+    for text in ("BEGIN", "INSERT INTO ord VALUES (100000001, 1, 1.5)", "INSERT INTO ord VALUES (100000002, 2, 2.5)", "COMMIT", "DELETE FROM ord WHERE id = 100000001"):
+        e.sql(text)
+    return e.sql("SELECT id, cust, price FROM ord")
+
+
+@query("txn_insert_update", f"SELECT id, cust, CASE WHEN cust = 1 THEN price + 1 ELSE price END AS price FROM ({_DML} UNION ALL SELECT 100000001, 1, 1.5) x")
+def txn_insert_update(s, d):
+    """A transaction updates what it inserted itself."""
+    e = _engine(s, d)
+    for text in ("BEGIN", "INSERT INTO ord VALUES (100000001, 1, 1.5)", "UPDATE ord SET price = price + 1 WHERE cust = 1", "COMMIT"):
+        e.sql(text)
+    return e.sql("SELECT id, cust, price FROM ord")
+
+
+def _second_fails(e, first: str, second: str) -> None:
+    """Two sessions change a table in transactions at once; the second to commit is refused."""
+    from basalt.constraints import ConstraintError
+    from basalt.engine import SerializationError
+
+    other = e.session()
+    for one, text in ((e, first), (other, second)):
+        one.sql("BEGIN")
+        one.sql(text)
+    e.sql("COMMIT")
+    try:
+        other.sql("COMMIT")
+    except (SerializationError, ConstraintError):
+        return
+    raise AssertionError("both transactions were committed")
+
+
+@query("txn_two_writers", f"SELECT id, cust, CASE WHEN cust % 2 = 0 THEN price + 1 ELSE price END AS price FROM ({_DML}) x")
+def txn_two_writers(s, d):
+    """Of two updates of the same rows the first to commit wins."""
+    e = _engine(s, d)
+    _second_fails(e, "UPDATE ord SET price = price + 1 WHERE cust % 2 = 0", "UPDATE ord SET price = 7 WHERE cust % 4 = 0")
+    return e.sql("SELECT id, cust, price FROM ord")
+
+
+@query("txn_pk_two_writers", "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 100000001, 'first'")
+def txn_pk_two_writers(s, d):
+    """A primary key holds over two transactions that insert it at once."""
+    e = _engine(s, d)
+    _second_fails(e, "INSERT INTO cust VALUES (100000001, 'first')", "INSERT INTO cust VALUES (100000001, 'second')")
+    return e.sql("SELECT id, name FROM cust")
+
+
+@query("txn_read_committed", f"SELECT id, cust, price FROM ({_DML}) x WHERE id >= 100")
+def txn_read_committed(s, d):
+    """Each statement of a read-committed transaction sees what is committed by then."""
+    e = _engine(s, d)
+    reader = e.session()
+    reader.sql("BEGIN")
+    reader.sql("SELECT count(*) FROM ord")
+    e.sql("DELETE FROM ord WHERE id < 100")
+    return reader.sql("SELECT id, cust, price FROM ord")
+
+
+# ---- statements ----
+
+
+@query("dml_update_cascade", f"SELECT id, CASE WHEN cust % 5 = 0 THEN cust + 100000000 ELSE cust END AS cust FROM ({_DML}) x")
+def dml_update_cascade(s, d):
+    e = _engine(s, d)
+    e.sql("CREATE TABLE follows (id BIGINT, cust BIGINT REFERENCES cust(id) ON UPDATE CASCADE)")
+    e.sql("INSERT INTO follows SELECT id, cust FROM ord")
+    e.sql("DELETE FROM ord")
+    e.sql("UPDATE cust SET id = id + 100000000 WHERE id % 5 = 0")
+    return e.sql("SELECT id, cust FROM follows")
+
+
+def _copy_statement(s, d, how: str):
+    """All rows of a table through COPY TO and COPY FROM."""
+    from basalt.sources.folders import fresh
+
+    e, path = _engine(s, d), fresh(s, "basalt-copy")
+    e.sql(f"COPY ord TO '{path}' WITH {how}")
+    e.sql("CREATE TABLE again (id BIGINT, cust BIGINT, price DOUBLE)")
+    e.sql(f"COPY again FROM '{path}' WITH {how}")
+    return e.sql("SELECT id, cust, price FROM again")
+
+
+@query("copy_text_statement", _DML)
+def copy_text_statement(s, d):
+    return _copy_statement(s, d, "(FORMAT TEXT)")
+
+
+@query("copy_csv_statement", _DML)
+def copy_csv_statement(s, d):
+    return _copy_statement(s, d, "(FORMAT CSV, HEADER, DELIMITER '|')")
+
+
+@query("copy_binary_statement", _DML)
+def copy_binary_statement(s, d):
+    return _copy_statement(s, d, "(FORMAT BINARY)")
+
+
+@query("ddl_drop_table", "SELECT c_custkey AS id, c_name AS name FROM customer")
+def ddl_drop_table(s, d):
+    """A dropped table is gone, its name is free and its parent no longer held."""
+    e = _engine(s, d)
+    e.sql("DROP TABLE ord")
+    e.sql("DROP TABLE cust")
+    e.sql("CREATE TABLE cust (id BIGINT, name TEXT)")
+    e.sql("INSERT INTO cust SELECT c_custkey, c_name FROM customer")
+    return e.sql("SELECT id, name FROM cust")
+
+
+@query("ddl_drop_index", f"{_DML} UNION ALL {_DML}")
+def ddl_drop_index(s, d):
+    """Rows that a unique index would refuse, after it is dropped."""
+    e = _engine(s, d)
+    e.sql("CREATE UNIQUE INDEX one ON ord (id)")
+    e.sql("DROP INDEX one")
+    e.sql("INSERT INTO ord SELECT id, cust, price FROM ord")
+    return e.sql("SELECT id, cust, price FROM ord")
+
+
+@query("deallocate", "SELECT n_name FROM nation WHERE n_regionkey = 3")
+def deallocate(s, d):
+    """A prepared statement's name is free again after DEALLOCATE."""
+    from basalt.engine import Engine
+
+    e = Engine(s, "")
+    e.register("nation", t(s, d, "nation"))
+    e.sql("PREPARE pick (INT) AS SELECT n_name FROM nation WHERE n_nationkey = $1")
+    e.sql("DEALLOCATE pick")
+    e.sql("PREPARE pick (INT) AS SELECT n_name FROM nation WHERE n_regionkey = $1")
+    return e.sql("EXECUTE pick (3)")
+
+
+@query("explain_delete", f"{_DML}")
+def explain_delete(s, d):
+    """EXPLAIN of a change changes nothing."""
+    e = _engine(s, d)
+    e.sql("EXPLAIN DELETE FROM ord WHERE price > 1000").collect()
+    return e.sql("SELECT id, cust, price FROM ord")
+
+
+@query("sql_functions", "SELECT s_suppkey, sqrt(s_suppkey) AS q, CAST(pow(s_nationkey, 2) AS DOUBLE) AS p, CAST(floor(s_acctbal) AS DOUBLE) AS f, CAST(ceil(s_acctbal) AS DOUBLE) AS c, trim(' ' || s_name || ' ') AS t, substring(s_name, 1, 4) AS head, CAST(length(s_name) AS BIGINT) AS n FROM supplier")
+def sql_functions(s, d):
+    """The dialect's functions in SQL text follow its rules."""
+    from basalt.engine import Engine
+
+    e = Engine(s, "")
+    e.register("supplier", t(s, d, "supplier"))
+    return e.sql("SELECT s_suppkey, sqrt(s_suppkey) AS q, power(s_nationkey, 2) AS p, floor(s_acctbal) AS f, ceil(s_acctbal) AS c, trim(' ' || s_name || ' ') AS t, substring(s_name FROM 0 FOR 4) AS head, length(s_name) AS n FROM supplier")
+
+
+@query("sql_interval_factor", "SELECT n_nationkey, TIMESTAMP '2020-01-31 00:00:00' + INTERVAL 2 MONTH + INTERVAL 4 DAY AS twice FROM nation")
+def sql_interval_factor(s, d):
+    """A factor of a mixed interval holds for all its units."""
+    from basalt.engine import Engine
+
+    e = Engine(s, "")
+    e.register("nation", t(s, d, "nation"))
+    return e.sql("SELECT n_nationkey, TIMESTAMP '2020-01-31 00:00:00' + INTERVAL '1 month 2 days' * 2 AS twice FROM nation")

@@ -26,7 +26,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from basalt.plans import extensions, relational, tpch  # noqa: F401
+    from basalt.plans import extensions, physical, relational, tpch  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

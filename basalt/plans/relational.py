@@ -348,10 +348,10 @@ def distinct(s, d):
 # ---- sort and limit ----
 
 
-@query("sort_nulls", "SELECT c_custkey, nullif(c_nationkey, 5) AS k FROM customer ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST LIMIT 80")
+@query("sort_nulls", "SELECT c_custkey, nullif(c_nationkey, 5) AS k FROM customer ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST")
 def sort_nulls(s, d):
     rows = t(s, d, "customer").select("c_custkey", F.nullif(col("c_nationkey"), F.lit(5)).alias("k"))
-    return sort.top(rows, 80, "k", "c_custkey DESC")
+    return sort.sort(rows, "k", "c_custkey DESC")
 
 
 @query("sort_multi", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier ORDER BY s_nationkey DESC, s_acctbal, s_suppkey")

@@ -34,3 +34,21 @@ def test_unreadable():
         tokens("SELECT 'open")
     with pytest.raises(ValueError):
         tokens("SELECT $q$ open")
+
+
+def test_interval_factors():
+    from basalt.dialect import to_spark
+
+    assert to_spark("d + INTERVAL '1 month 2 days' * (n + 1)") == "d + INTERVAL '1' MONTH * (n + 1) + INTERVAL '2' DAY * (n + 1)"
+    assert to_spark("d - 3 * INTERVAL '1 month 2 days'") == "d - 3 * INTERVAL '1' MONTH - 3 * INTERVAL '2' DAY"
+
+
+def test_functions_follow_the_dialect(spark):
+    from basalt.engine import Engine
+
+    e = Engine(spark, "")
+    one = e.sql("SELECT floor(-1.5) AS f, round(2.5) AS r, trim(' \u00a0x ') AS t, substring('abc', 0, 2) AS s, substring('abc' FROM 2) AS u, length('h\u00e9') AS n, ltrim(lower('  A')) AS l").first()
+    assert tuple(one) == (-2.0, 3.0, "x", "ab", "bc", 2, "a")
+    for text in ("SELECT sqrt(-1)", "SELECT power(10, 400)"):
+        with pytest.raises(Exception, match="SQRT|POWER"):
+            e.sql(text).collect()

@@ -230,3 +230,127 @@ def test_result_cache_follows_changes(db):
     assert db.results.stats.hits == 1
     db.sql("DELETE FROM employees WHERE id = 1")
     assert db.cached("SELECT count(*) AS n FROM employees").first().n == 2
+
+
+def test_rows_of_one_transaction_have_keys_of_their_own(db):
+    db.sql("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    for text in ("BEGIN", "INSERT INTO t VALUES (1, 10)", "INSERT INTO t VALUES (2, 20)", "COMMIT", "DELETE FROM t WHERE id = 1"):
+        db.sql(text)
+    assert rows(db.sql("SELECT * FROM t")) == [(2, 20)]
+    for text in ("BEGIN", "INSERT INTO t VALUES (3, 10)", "UPDATE t SET v = 11 WHERE id = 3"):
+        db.sql(text)
+    assert rows(db.sql("SELECT * FROM t")) == [(2, 20), (3, 11)]
+    db.sql("COMMIT")
+    assert rows(db.sql("SELECT * FROM t")) == [(2, 20), (3, 11)]
+
+
+def two_writers(db, first, second, level="READ COMMITTED"):
+    other = db.session()
+    for e, text in ((db, first), (other, second)):
+        e.sql(f"BEGIN ISOLATION LEVEL {level}")
+        e.sql(text)
+    db.sql("COMMIT")
+    other.sql("COMMIT")
+
+
+@pytest.mark.parametrize("level", ["READ COMMITTED", "REPEATABLE READ", "SERIALIZABLE"])
+def test_two_writers_of_one_row(db, level):
+    with pytest.raises(SerializationError):
+        two_writers(db, "UPDATE employees SET age = 1 WHERE id = 1", "UPDATE employees SET age = 2 WHERE id = 1", level)
+    assert rows(db.sql("SELECT age FROM employees WHERE id = 1")) == [(1,)]
+
+
+def test_two_writers_of_different_rows(db):
+    two_writers(db, "UPDATE employees SET age = 1 WHERE id = 1", "DELETE FROM employees WHERE id = 2")
+    assert rows(db.sql("SELECT id, age FROM employees")) == [(1, 1), (3, None)]
+
+
+@pytest.mark.parametrize(
+    ("first", "second"),
+    [
+        ("INSERT INTO departments VALUES (9, 'a')", "INSERT INTO departments VALUES (9, 'b')"),
+        ("DELETE FROM departments WHERE id = 2", "INSERT INTO employees (dept) VALUES (2)"),
+        ("INSERT INTO employees (dept) VALUES (2)", "UPDATE departments SET id = 8 WHERE id = 2"),
+    ],
+)
+def test_constraints_hold_at_commit(db, first, second):
+    db.sql("DELETE FROM employees")
+    with pytest.raises(ConstraintError):
+        two_writers(db, first, second)
+    assert rows(db.sql("SELECT dept FROM employees WHERE dept NOT IN (SELECT id FROM departments)")) == []
+    assert rows(db.sql("SELECT id FROM departments GROUP BY id HAVING count(*) > 1")) == []
+
+
+def test_serializable_checks_what_was_read(db):
+    other = db.session()
+    other.sql("BEGIN ISOLATION LEVEL SERIALIZABLE")
+    other.sql("SELECT count(*) FROM employees")
+    other.sql("INSERT INTO departments VALUES (5, 'x')")
+    db.sql("INSERT INTO employees (dept) VALUES (1)")
+    with pytest.raises(SerializationError):
+        other.sql("COMMIT")
+
+
+def test_a_failing_statement_leaves_the_transaction(db):
+    db.sql("BEGIN")
+    db.sql("INSERT INTO departments VALUES (5, 'x')")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO departments VALUES (5, 'y')")
+    db.sql("COMMIT")
+    assert rows(db.sql("SELECT * FROM departments WHERE id = 5")) == [(5, "x")]
+
+
+def test_a_crash_between_tables_leaves_nothing(db):
+    from basalt.sources.versioned import LogStore
+
+    db.sql("BEGIN")
+    db.sql("DELETE FROM departments WHERE id = 1")  # cascades
+    staged = db.transaction.staged
+    assert set(staged) == {"departments", "employees"}
+    entry = {k: staged["employees"][k] for k in ("add", "remove")} | {"txn": "crashed", "home": f"{db.folder}/transactions"}
+    db.tables["employees"].commit(db.tables["employees"].tip(), entry)
+    db.sql("ROLLBACK")
+    assert db.sql("SELECT * FROM employees").count() == 3
+    db.sql("UPDATE employees SET age = 50 WHERE id = 1")  # the writer behind it aborts it
+    assert rows(db.sql("SELECT id, age FROM employees")) == [(1, 50), (2, 40), (3, None)]
+    assert not LogStore(db.spark, f"{db.folder}/transactions").create("crashed", "committed")
+
+
+@pytest.mark.parametrize(("action", "left"), [("CASCADE", [(1, 7)]), ("SET NULL", [(1, None)]), ("SET DEFAULT", [(1, 2)])])
+def test_update_actions(spark, folder, action, left):
+    e = Engine(spark, folder)
+    e.sql("CREATE TABLE p (id INT PRIMARY KEY)")
+    e.sql(f"CREATE TABLE c (id INT, p INT DEFAULT 2, FOREIGN KEY (p) REFERENCES p (id) ON DELETE CASCADE ON UPDATE {action})")
+    e.sql("INSERT INTO p VALUES (1), (2)")
+    e.sql("INSERT INTO c VALUES (1, 1)")
+    e.sql("UPDATE p SET id = 7 WHERE id = 1")
+    assert rows(e.sql("SELECT id, p FROM c")) == left
+    assert rows(e.sql("SELECT id FROM p")) == [(2,), (7,)]
+
+
+def test_vacuum_collects_what_it_had_to_keep(db):
+    other = db.session()
+    other.sql("BEGIN ISOLATION LEVEL REPEATABLE READ")
+    db.sql("DELETE FROM employees WHERE id = 1")
+    db.sql("VACUUM employees")
+    assert other.sql("SELECT * FROM employees").count() == 3
+    other.sql("ROLLBACK")
+    db.sql("VACUUM employees")
+    log = db.tables["employees"].log
+    assert len(list(log.fs.listStatus(log.jvm.org.apache.hadoop.fs.Path(f"{db.tables['employees'].folder}/data")))) == 1
+    assert db.tables["employees"].history().count() == 2
+
+
+def test_explain_of_changes(db):
+    plan = [r.plan for r in db.sql("EXPLAIN DELETE FROM employees WHERE age > 30").collect()]
+    assert plan[0] == "Delete on employees" and any("Filter" in p for p in plan)
+    assert db.sql("SELECT * FROM employees").count() == 3
+    plan = [r.plan for r in db.sql("EXPLAIN ANALYZE INSERT INTO employees (dept) SELECT id FROM departments").collect()]
+    assert plan[0].startswith("Rows: 2") and db.sql("SELECT * FROM employees").count() == 5
+
+
+def test_partial_unique_index(db):
+    db.sql("CREATE UNIQUE INDEX some ON employees (name) WHERE age > 10")
+    db.sql("INSERT INTO employees (name, dept, age) VALUES ('a', 1, 5)")
+    with pytest.raises(ConstraintError):
+        db.sql("INSERT INTO employees (name, dept, age) VALUES ('a', 1, 50)")

@@ -1,7 +1,8 @@
 """Toxicity, quality and language models: held-out accuracy, the arithmetic, odd rows."""
 
 import random
-from functools import lru_cache
+from decimal import Decimal
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -104,29 +105,59 @@ def tongues(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
 
 
-def test_forward_sums_all_segmentations():
-    lattice = langid.Lattice(langid.vocabulary(PIECES))
+def every_segmentation(word, place, share):
+    """Sum over every way to cut ``word``, written out cut by cut."""
+    total = np.zeros(2)
+    for cuts in product([False, True], repeat=len(word) - 1):
+        ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(word)]
+        parts = [word[a:b] for a, b in zip([0, *ends], ends)]
+        # a single character may also stand alone, at the share of what is unknown
+        total += np.prod([(share[place[p]] if p in place else np.zeros(2)) + (1e-7 if len(p) == 1 else 0) for p in parts], axis=0)
+    return np.log(total)
+
+
+def exact_sum(word, place, share, lang):
+    """The same sum for longer words, in numbers that cannot underflow."""
+    alpha = [Decimal(1)]
+    for j in range(1, len(word) + 1):
+        total = alpha[j - 1] * Decimal("1e-7")
+        for i in range(j):
+            if word[i:j] in place:
+                total += alpha[i] * Decimal(share[place[word[i:j]], lang])
+        alpha.append(total)
+    return float(alpha[-1].ln())
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    pieces = langid.vocabulary(PIECES)
+    lattice = langid.Lattice(pieces)
     place = {p: i + 1 for i, p in enumerate(lattice.pieces)}
     share = np.random.default_rng(0).random((len(lattice.pieces) + 1, 2)) * 1e-3
     share[0] = 0
-    words = ["the", "threrating", "mentez", "x", "日本", "schöß", "a" * 40, "the"]
-
-    def brute(word):
-        word = langid.START + word
-
-        @lru_cache(None)
-        def from_(i):
-            if i == len(word):
-                return np.ones(2)
-            total = from_(i + 1) * langid.UNKNOWN
-            for k in range(1, langid.LONGEST + 1):
-                if word[i : i + k] in place and i + k <= len(word):
-                    total = total + from_(i + k) * share[place[word[i : i + k]]]
-            return total
+    short = ["the", "threrating", "mentez", "x", "日本", "schöß", "international", "the"]
+    assert np.allclose(lattice.log_probability(short, share), [every_segmentation("▁" + w, place, share) for w in short])
+    longest = max(pieces, key=len)
+    assert len(longest) > 10
+    long = ["a" * 40, longest.strip("▁") * 3, "日本語" * 60, "internationalthe" * 40, "x" * 700]
+    wanted = [[exact_sum("▁" + w, place, share, k) for k in (0, 1)] for w in long]
+    assert np.allclose(lattice.log_probability(long, share), wanted)
+    monkeypatch.setattr(langid, "CHUNK", 50)
+    assert np.allclose(lattice.log_probability(long, share), wanted)
+
+
+def test_fitting_raises_the_likelihood():
+    lattice = langid.Lattice(langid.vocabulary(PIECES))
+    words, counts = ["the", "then", "other", "hath" * 30], np.array([9.0, 2, 3, 1])
+    told = [float(counts @ lattice.log_probability(words, lattice.fit(words, counts, n))[:, 0]) for n in (1, 2, 4)]
+    assert np.isfinite(told).all() and told == sorted(told)
 
-        return np.log(from_(0))
 
-    assert np.allclose(lattice.log_probability(words, share), [brute(w) for w in words])
+def test_texts_without_spaces_are_scored_whole(tongues):
+    model = langid.fit(tongues, PIECES, per_language=100)
+    spark = tongues.sparkSession
+    texts = [("ción" * 500, "bb"), ("schung" * 400, "cc"), ("thering" * 300, "aa")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    assert [r.lang_pred for r in langid.identify(docs, model).orderBy("doc_id").collect()] == [lang for _, lang in texts]
 
 
 def test_languages_held_out(tongues):

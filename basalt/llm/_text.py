@@ -46,6 +46,12 @@ def shared_dir(spark: SparkSession, prefix: str) -> str:
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """checkpoint() needs a folder; set one only where none is set."""
     sc = spark.sparkContext

@@ -1,16 +1,18 @@
 """Near-duplicates by 64-bit SimHash and multi-index hashing.
 
-Fingerprints come from whole texts.  Distinct fingerprints within two bits of
-each other are found through tables of keys: the 64 bits form two segments,
-and every fingerprint enumerates the Hamming ball of radius one within each
-segment.  A key is a ball's element *together with* the other segment, so two
-fingerprints share a key exactly when they differ in at most two bits (in one
-segment they meet half-way between them, in two segments each goes half the
-way).  A key has at most 65 distinct fingerprints, whatever the data: a dense
-cluster cannot fill a bucket, as it would with bare segment keys.  Complete
-distances are verified before a link counts.  Links join a bucket's members to
-its smallest one; all members are within two bits of each other, so no
-connection is lost and none is added.
+Fingerprints come from whole texts.  The 64 bits form two segments, and each
+segment has a table of buckets: all fingerprints with one value of the segment.
+Two fingerprints that differ in at most two bits differ in at most one bit of
+some segment, so every fingerprint looks into the bucket of its own value and
+into those of the Hamming ball of radius one around it.  Of two values one bit
+apart only the one with the bit set looks up the other: a pair is met once, and
+the ball costs a row for each set bit.  Complete distances are verified.
+
+A bucket of many fingerprints (a dense cluster of near copies) is not compared
+pair by pair: it is split by the other segment, into which its members
+enumerate a ball in turn.  Members of such a part are within two bits of each
+other and there are 65 at most, so links to its smallest lose no connection and
+their number grows with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm._text import map_texts, segment_sums, shared_dir
+from basalt.llm._text import drop_dir, map_texts, segment_sums, shared_dir
 
-SEGMENTS = 2  # of 32 bits each
+WIDTH = 32  # bits of each of the two segments
 SEED = 42
+BUCKET = 64  # fingerprints of a bucket that are compared pair by pair
 PART = 1 << 15  # fingerprints whose keys one task enumerates
 
 
@@ -78,16 +81,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
-    """``a, b``: links among distinct fingerprints, ``b`` the smallest of a key's members."""
-    width = 64 // SEGMENTS
-    # Each fingerprint becomes 65 keys, so a few megabytes of them are dealt over many tasks.
-    distinct = distinct.repartition(distinct.count() // PART + 1, fp)
-    balls = [f"transform(sequence({s * width}, {s * width + width - 1}), i -> {fp} ^ shiftleft(1L, i))" for s in range(SEGMENTS)]
-    keyed = distinct.select(F.col(fp), F.expr(f"explode(concat(array({fp}), {', '.join(balls)}))").alias("key"))
-    # Most keys have one member: sets built before the shuffle would only be larger than the rows.
-    tables = keyed.repartition("key").groupBy("key").agg(F.collect_set(fp).alias("members")).filter(F.size("members") > 1)
-    pairs = tables.select(F.array_min("members").alias("b"), F.explode("members").alias("a")).filter("a != b")
-    return pairs.filter(F.expr("bit_count(a ^ b) <= 2")).select("a", "b").distinct()
+    """``a, b``: verified links among distinct fingerprints that connect all
+    that differ in two bits or fewer."""
+    spark = distinct.sparkSession
+    place = shared_dir(spark, "segments")
+    # Each fingerprint becomes some 34 rows, so a few megabytes of them are dealt over many tasks.
+    distinct = distinct.select(F.col(fp).alias("fp")).repartition(distinct.count() // PART + 1, "fp")
+    mask = (1 << WIDTH) - 1
+    value = [f"(shiftrightunsigned(fp, {s * WIDTH}) & {mask}L)" for s in (0, 1)]
+    ball = "array(0L), transform(filter(sequence(0, {w} - 1), i -> (shiftrightunsigned(fp, i + {s}) & 1L) = 1), i -> shiftleft(1L, i))"
+    balls = [f"transform(concat({ball.format(w=WIDTH, s=s * WIDTH)}), x -> {s << WIDTH}L + ({value[s]} ^ x))" for s in (0, 1)]
+    tables = distinct.select("fp", F.expr(f"explode(concat({', '.join(balls)}))").alias("key"))
+    # A row is of the bucket if the key is its own value, and else looks into it.
+    own = f"key = if(key > {mask}L, {1 << WIDTH}L + {value[1]}, {value[0]})"
+    bucket = Window.partitionBy("key")
+    sized = tables.withColumn("own", F.expr(own)).withColumn("n", F.count("*").over(bucket)).withColumn("held", F.count_if("own").over(bucket))
+    sized.filter("n > 1 AND held > 0").select("key", "fp", "own", "n").write.parquet(f"{place}/met")
+    met = spark.read.parquet(f"{place}/met")
+    few = met.filter(F.col("n") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("fp", "own")).alias("rows"))
+    near = "filter(rows, y -> (NOT y.own OR y.fp < x.fp) AND y.fp != x.fp AND bit_count(x.fp ^ y.fp) <= 2)"
+    pairs = few.select(F.expr(f"explode(flatten(transform(filter(rows, x -> x.own), x -> transform({near}, y -> struct(x.fp AS a, y.fp AS b)))))").alias("p")).select("p.*")
+    other = f"if(key > {mask}L, {value[0]}, {value[1]})"
+    around = f"if(own, concat(array({other}), transform(sequence(0, {WIDTH} - 1), i -> {other} ^ shiftleft(1L, i))), array({other}))"
+    parts = met.filter(F.col("n") > BUCKET).select("key", "fp", F.expr(f"explode({around})").alias("part"))
+    parts = parts.groupBy("key", "part").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
+    stars = parts.select(F.explode("members").alias("a"), F.array_min("members").alias("b")).filter("a != b AND bit_count(a ^ b) <= 2")
+    ends = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    return pairs.unionByName(stars).select(*ends).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -103,22 +123,22 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both.write.parquet(f"{place}/edges")
     both = spark.read.parquet(f"{place}/edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.lit(True).alias("changed"), F.least("node", "least").alias("root"))
+    labels.write.parquet(f"{place}/0")
     k = 0
     while True:
-        labels.write.parquet(f"{place}/{k}")
-        labels = spark.read.parquet(f"{place}/{k}")
+        labels = spark.read.parquet(f"{place}/{k}").select("node", "root")
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         now = labels.join(seen, labels.node == seen.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("root").alias("above"))
-        now = now.join(up, "new").select("node", "old", F.least("new", "above").alias("root"))
+        now = now.join(up, "new").withColumn("root", F.least("new", "above")).select("node", (F.col("root") != F.col("old")).alias("changed"), "root")
         k += 1
         now.write.parquet(f"{place}/{k}")
+        drop_dir(spark, f"{place}/{k - 1}")
         now = spark.read.parquet(f"{place}/{k}")
-        if now.filter("old != root").isEmpty():
+        if now.filter("changed").isEmpty():
+            drop_dir(spark, f"{place}/edges")
             return now.select("node", "root")
-        labels = now.select("node", "root")
-        k += 1
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -142,12 +162,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their group: one document of each
-    group of near-duplicates stays.  Rows of one id are one document; rows
-    without an id stay."""
-    heads = near_duplicates(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(heads, docs[id_col] == heads["_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -75,7 +75,7 @@ def test_chains_clusters_and_copies(spark):
     assert edges.count() <= 65 * len(prints)
 
 
-def test_near_copies_are_caught_and_one_stays(spark):
+def test_near_copies_are_caught(spark):
     rng = random.Random(9)
     texts = [prose(rng, 400) for _ in range(30)]
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -83,15 +83,53 @@ def test_near_copies_are_caught_and_one_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     by = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert all(by[100 + i] == 0 for i in range(20)) and all(by[200 + i] == 1 for i in range(4))
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({c for c in by.values()})
 
 
-def test_keep_one_on_odd_rows(odd_docs, no_docs):
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and None in ids
-    assert simhash.keep_one(no_docs).count() == simhash.near_duplicates(no_docs).count() == 0
+def test_no_rows(no_docs):
+    assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def linked(spark, prints):
+    """Whether links connect just what brute force connects."""
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp bigint")).collect()
+    assert all(bin((e.a ^ e.b) & (1 << 64) - 1).count("1") <= 2 and e.a > e.b for e in edges)
+    place = {p: i for i, p in enumerate(signed)}
+    parent = list(range(len(prints)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for e in edges:
+        x, y = sorted((root(place[e.a]), root(place[e.b])))
+        parent[y] = x
+    assert {i: root(i) for i in range(len(parent))} == brute_components(dict(enumerate(prints)))
+    return edges
+
+
+def test_buckets_of_many_fingerprints(spark):
+    """All share a segment, so its one bucket is split by the other segment."""
+    rng = random.Random(12)
+    for low in (0, 1):
+        shift = 32 * low
+        base = rng.getrandbits(64)
+        other = [rng.getrandbits(32) for _ in range(40)]
+        spread = [base & ~(0xFFFFFFFF << shift) | (o ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32))) << shift for o in other for _ in range(12)]
+        beside = [p ^ (1 << rng.randrange(32) + 32 - shift) for p in spread[:150]]
+        prints = list(dict.fromkeys(spread + beside))
+        assert len(prints) > 10 * simhash.BUCKET / 2
+        assert len(linked(spark, prints)) <= 33 * 2 * len(prints)
+
+
+def test_small_buckets_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    centres = [rng.getrandbits(64) for _ in range(20)]
+    prints = list(dict.fromkeys(c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(15)))
+    linked(spark, prints)
+    monkeypatch.setattr(simhash, "BUCKET", 1)  # every bucket split
+    linked(spark, prints)
 
 
 def test_no_pairs_within_a_group(spark):

@@ -52,11 +52,16 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
     last = first + np.repeat(np.minimum(n_words, shingle), n_shingles) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(buffer[a:b], SEED) for a, b in zip(starts[first].tolist(), ends[last].tolist())], np.uint64)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(hashes, bounds)
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """int64 whose bits are set where over half of a text's hashes have them."""
+    n = np.diff(bounds)
     step = 1 << 17  # shingles whose bits are spread out at a time
-    ones = np.zeros((len(texts), 64), np.int64)
+    ones = np.zeros((len(n), 64), np.int64)
     at = 0
-    while at < len(texts):
+    while at < len(n):
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + step, "right")) - 1)
         for low in range(int(bounds[at]), int(bounds[to]), step) if to == at + 1 else [int(bounds[at])]:
             high = min(low + step, int(bounds[to])) if to == at + 1 else int(bounds[to])
@@ -66,8 +71,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
             else:
                 ones[at:to] = segment_sums(bits, bounds[at : to + 1] - low, np.int64)
         at = to
-    out = np.packbits(ones * 2 > n_shingles[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
-    return out
+    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from basalt.llm._text import shared_dir
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+BROADCAST_ROWS = 100_000  # groups of equal payloads, of some 100 bytes each
 EPOCH = "1970-01-01T00:00:00Z"  # the tables have no capture times
 SCHEMA = (
     "record_id string, record_type string, target_uri string, warc_date string, content_type string, payload_digest string, refers_to string, "
@@ -91,14 +92,25 @@ def page_record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``page_id, url, payload, refers_to``: of rows with equal payloads (null
     counts as empty) that with the largest id has no ``refers_to``, the others
-    have its id.  Equality is that of SHA-256 and length."""
+    have its id.  Equality is that of SHA-256 and length.
+
+    Hashes are counted without their payloads; the groups of several rows are
+    joined back, broadcast where they are few, so that unique payloads cross no
+    shuffle then.  Beyond that both sides meet in a shuffle.
+    """
     base = pages.select(
         F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
         F.encode(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumn("_key", F.concat_ws(":", F.sha2("payload", 256), F.octet_length("payload")))
-    largest = base.groupBy("_key").agg(F.max("page_id").alias("_of"))
-    joined = base.join(largest, "_key")
-    return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("_of")), F.col("_of")).alias("refers_to"))
+    spark = pages.sparkSession
+    place = shared_dir(spark, "payloads")
+    largest = base.groupBy("_key").agg(F.max("page_id").alias("_of"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    largest.write.parquet(f"{place}/groups")
+    largest = spark.read.parquet(f"{place}/groups")
+    if largest.count() <= BROADCAST_ROWS:
+        largest = F.broadcast(largest)
+    joined = base.join(largest, "_key", "left")
+    return joined.select("page_id", "url", "payload", F.when(F.col("_of").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_of")), F.col("_of")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, level: int = 6) -> DataFrame:
@@ -148,7 +160,7 @@ class _Member:
     """One record's bytes, inflated only as far as they are asked for."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data, self.ended, self.size = file, at, b"", False, None
+        self.file, self.at, self.data, self.ended, self.size = file, at, bytearray(), False, None
         file.seek(at)
         start = file.read(18)
         self.empty = not start
@@ -174,10 +186,13 @@ class _Member:
             self.data += chunk
         return not self.ended
 
-    def until(self, mark: bytes) -> int:
-        while (i := self.data.find(mark)) < 0:
-            if self.ended or (not self.more() and mark not in self.data):
+    def until(self, mark: bytes, start: int = 0) -> int:
+        """Where a mark begins (-1: nowhere); nothing is searched twice."""
+        while (i := self.data.find(mark, start)) < 0:
+            start = max(start, len(self.data) - len(mark) + 1)
+            if self.ended:
                 return -1
+            self.more()
         return i
 
     def upto(self, n: int) -> None:
@@ -191,13 +206,15 @@ class _Member:
         if self.inflate is None:
             return self.at + length
         while not self.ended:
-            self.data = b""
+            self.data.clear()
             self.more(1 << 16)
         return self.file.tell() - len(self.inflate.unused_data)
 
 
-def records(file, wanted=lambda headers: True) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of the wanted records of an open archive file."""
+def records(file, wanted=lambda headers: True, payload: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of the wanted records of an open archive file; without
+    ``payload`` the block of an HTTP record ends with its HTTP headers, and
+    nothing behind them is inflated where the record's length is known."""
     at = 0
     while True:
         member = _Member(file, at)
@@ -208,23 +225,32 @@ def records(file, wanted=lambda headers: True) -> Iterator[tuple[dict[str, str],
             if member.data.strip():
                 raise ValueError(f"no WARC record at byte {at}")
             return
-        headers = parse_headers(member.data[:end])
+        headers = parse_headers(bytes(member.data[:end]))
         size = int(headers.get("Content-Length", 0))
-        total = end + 4 + size + 4
+        start = end + 4
         if wanted(headers):
-            member.upto(end + 4 + size)
-            block = member.data[end + 4 : end + 4 + size]
-            if len(block) < size:
+            to = start + size
+            if not payload:
+                head = member.until(b"\r\n\r\n", start) if is_http(headers) else start - 4
+                to = min(to, head + 4) if head >= 0 else to
+            member.upto(to)
+            block = bytes(memoryview(member.data)[start:to])
+            if len(block) < to - start:
                 raise ValueError(f"record at byte {at} is cut off")
             yield headers, block
-        at = member.next_at(total)
+        at = member.next_at(start + size + 4)
+
+
+def is_http(headers: dict[str, str]) -> bool:
+    return headers.get("Content-Type", "").startswith("application/http")
 
 
 def http_payload(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
     """Payload of a block and the length its HTTP headers give (its own, if none)."""
-    if not headers.get("Content-Type", "").startswith("application/http"):
-        return block, len(block)
-    head, _, payload = block.partition(b"\r\n\r\n")
+    if not is_http(headers):
+        return block, int(headers.get("Content-Length", len(block)))
+    end = block.find(b"\r\n\r\n")
+    head, payload = (block[:end], block[end + 4 :]) if end >= 0 else (block, b"")
     said = {k.lower(): v for k, v in parse_headers(head).items()}.get("content-length", "")
     return payload, int(said) if said.isdigit() else len(payload)
 
@@ -258,7 +284,14 @@ class WarcReader(DataSourceReader):
         if paths is None:
             from pyarrow.fs import FileSelector
 
-            paths = sorted(i.path for i in fs.get_file_info(FileSelector(root, recursive=True)) if i.is_file and i.path.endswith((".warc", ".warc.gz")))
+            found = [i.path for i in fs.get_file_info(FileSelector(root, recursive=True)) if i.is_file]
+            paths = sorted(p for p in found if p.endswith((".warc", ".warc.gz")))
+            if manifest := [p for p in found if p.startswith(f"{root}/manifest/") and p.endswith(".parquet")]:
+                # A folder that ``write`` made: files of lost or repeated tasks are not in its manifest.
+                import pyarrow.parquet as pq
+
+                listed = {name.rpartition("/")[2] for p in manifest for name in pq.read_table(fs.open_input_file(p), columns=["path"])["path"].to_pylist()}
+                paths = [p for p in paths if p.rpartition("/")[2] in listed]
         return [WarcPartition([p]) for p in paths] or [WarcPartition([])]
 
     def _column(self, name: str, headers: dict[str, str]) -> str | None:
@@ -280,14 +313,14 @@ class WarcReader(DataSourceReader):
         held = 0
         for path in partition.paths:
             with fs.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 20) as file:
-                for headers, block in records(file, self._wanted):
+                for headers, block in records(file, self._wanted, self.payload):
                     payload, size = http_payload(headers, block)
-                    if headers.get("WARC-Type") == "revisit":
+                    if headers.get("WARC-Type") == "revisit" or not self.payload:
                         payload = None
                     digest = payload_digest(payload) if payload is not None and headers.get("WARC-Payload-Digest") else None
                     if digest and digest != self._column("payload_digest", headers):
                         raise ValueError(f"{headers.get('WARC-Record-ID')}: the payload's digest differs")
-                    rows.append((*(self._column(c, headers) for c in HEADERS), size if payload is None else len(payload), list(headers.items()), payload if self.payload else None))
+                    rows.append((*(self._column(c, headers) for c in HEADERS), size if payload is None else len(payload), list(headers.items()), payload))
                     held += len(block)
                     if len(rows) >= 5000 or held > 16 << 20:
                         yield self._batch(rows, names, order)
@@ -305,8 +338,10 @@ class WarcReader(DataSourceReader):
 class WarcSource(DataSource):
     """``spark.read.format("warc").load(folder)`` after ``register(spark)``.
 
-    Options: ``payload`` ("false": leave payloads null), ``files`` (JSON list
-    of files instead of all in the folder).
+    Options: ``payload`` ("false": payloads stay null and are not inflated; a
+    response's ``payload_bytes`` is what its HTTP headers say), ``files`` (JSON
+    list of files instead of all in the folder).  Payloads that are read are
+    held against their digests.
     """
 
     @classmethod
@@ -321,12 +356,16 @@ class WarcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
-def read(spark: SparkSession, folder: str, paths: list[str] | None = None, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, folder: str, paths: list[str] | None = None, payload: bool = True, push_down: bool = True) -> DataFrame:
+    """Records of the archives in a folder.  Spark hands predicates to Python
+    sources only while ``spark.sql.python.filterPushdown.enabled`` is on when a
+    query is planned: with ``push_down`` it is turned on for the session."""
     register(spark)
+    if push_down:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("warc").option("payload", str(payload).lower())
     if paths is not None:
         reader = reader.option("files", json.dumps(paths))
@@ -339,15 +378,16 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Null payloads are empty; empty payloads are equal payloads like any other.
     Rows with the largest id of their group are responses, also if that id is
-    repeated; a null id never is the largest unless all are null.  Very long
-    payloads are held one at a time.  An empty table writes no file.
+    repeated; a null id never is the largest unless all are null.  Payloads are
+    read whole and held against their digests, very long ones one at a time, in
+    time that grows with their length.  An empty table writes no file.
     """
     spark = pages.sparkSession
     folder = shared_dir(spark, "warc")
     kind = dict(pages.dtypes)[id_col]
     manifest = write(with_revisits(pages, id_col, url_col, payload_col), folder)
     paths = [r["path"] for r in manifest.select("path").collect()]  # a file list, as any file source plans on the driver
-    back = read(spark, folder, paths, payload=False).filter(F.col("record_type").isin("response", "revisit"))
+    back = read(spark, folder, paths).filter(F.col("record_type").isin("response", "revisit"))
     refers = F.regexp_extract("refers_to", "^<urn:x-page:(.*)>$", 1)
     return back.select(
         F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",

@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +79,49 @@ def test_broken_archives():
     cut = warc.record("resource", {"WARC-Record-ID": "<urn:1>"}, b"z" * 100)[:-50]
     with pytest.raises(ValueError):
         list(warc.records(io.BufferedReader(io.BytesIO(cut))))
+
+
+def test_long_payloads_take_linear_time():
+    def seconds(size):
+        data = warc.gzip_member(warc.page_record(1, "u", bytes(size), None), level=1)
+        began = time.perf_counter()
+        ((_, block),) = warc.records(io.BufferedReader(io.BytesIO(data)))
+        assert len(block) > size
+        return time.perf_counter() - began
+
+    seconds(1 << 20)
+    assert seconds(64 << 20) < 16 * max(seconds(16 << 20), 0.02)
+
+
+def test_headers_alone_inflate_no_payload(spark, monkeypatch):
+    noise = random.Random(1).randbytes(3_000_000)
+    data = b"".join(warc.gzip_member(warc.page_record(i, "u", noise, None)) for i in range(3))
+    steps = []
+    plain = warc._Member.more
+    monkeypatch.setattr(warc._Member, "more", lambda self, step=4096: (steps.append(step), plain(self, step))[1])
+    got = [warc.http_payload(h, b) for h, b in warc.records(io.BufferedReader(io.BytesIO(data)), payload=False)]
+    assert got == [(b"", 3_000_000)] * 3 and sum(steps) < 100_000
+    folder = shared_dir(spark, "warc-heads")
+    pages = spark.createDataFrame(page_rows(), "page_id bigint, url string, html string")
+    warc.write(warc.with_revisits(pages), folder)
+    shown = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]
+    whole, heads = (warc.read(spark, folder, payload=p).filter("record_type != 'warcinfo'") for p in (True, False))
+    assert sorted(map(str, heads.select(shown).collect())) == sorted(map(str, whole.select(shown).collect()))
+    assert heads.filter("payload IS NOT NULL").count() == 0
+
+
+def test_files_of_lost_tasks_are_not_read(spark):
+    folder = shared_dir(spark, "warc-lost")
+    pages = spark.createDataFrame(page_rows(), "page_id bigint, url string, html string")
+    warc.write(warc.with_revisits(pages), folder)
+    before = warc.read(spark, folder).count()
+    fs, root = warc.file_system(folder)
+    with fs.open_output_stream(f"{root}/lost.warc.gz", compression=None) as out:
+        out.write(warc.gzip_member(warc.page_record(99, "u", b"x", None)))
+    assert warc.read(spark, folder).count() == before
+
+
+def test_groups_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    pages = spark.createDataFrame(page_rows(), "page_id bigint, url string, html string")
+    assert sorted(map(tuple, warc.archive_round_trip(pages).collect()), key=str) == brute(page_rows())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm import ann, bpe, langid, media, mixing, quality, simhash, token_counts, toxicity, warc
-from basalt.llm._text import table
+from basalt.llm._text import shared_dir, table
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -61,7 +61,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(table(spark, sf_dir, "documents"))
+    return media.digests(media.store(media.media_column(table(spark, sf_dir, "documents")), shared_dir(spark, "media")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ active, whatever their number.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 
@@ -62,6 +63,32 @@ class Merges:
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
     def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n, done_sym, done_owner = len(words), [], []
+
+        def finish(sym: np.ndarray, owner: np.ndarray) -> None:
+            done_sym.append(sym)
+            done_owner.append(owner)
+
+        self._merge(words, finish)
+        if not done_sym:
+            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+        sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return sym[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """The number of pieces of each word; their ids are not kept."""
+        out = np.zeros(len(words), np.int64)
+
+        def finish(sym: np.ndarray, owner: np.ndarray) -> None:
+            out[:] += np.bincount(owner, minlength=len(out))
+
+        self._merge(words, finish)
+        return out
+
+    def _merge(self, words: list[bytes], finish: Callable[[np.ndarray, np.ndarray], None]) -> None:
+        """Merges all words; ``finish`` gets the symbols of those that are done,
+        and the words that they belong to."""
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         raw = np.frombuffer(b"".join(words), np.uint8)
@@ -70,7 +97,6 @@ class Merges:
         filled = size > 0
         sym[ends[filled] - 1] = self.last[raw[ends[filled] - 1]]
         owner = np.repeat(np.arange(n, dtype=np.int32), size)
-        done_sym, done_owner = [], []
         rank = np.full(len(sym), NONE)  # of the pair that starts here
         at = np.flatnonzero(owner[:-1] == owner[1:])
         rank[at] = self._ranks(sym[at] * self.width + sym[at + 1])
@@ -81,8 +107,7 @@ class Merges:
             over = low == NONE
             if run[over].sum() * 4 >= len(sym):
                 over_here = np.repeat(over, run)
-                done_sym.append(sym[over_here])
-                done_owner.append(owner[over_here])
+                finish(sym[over_here], owner[over_here])
                 left = ~over_here
                 sym, owner, rank = sym[left], owner[left], rank[left]
                 low, run = low[~over], run[~over]
@@ -111,8 +136,3 @@ class Merges:
             new = new[new < len(sym) - 1]
             new = new[owner[new] == owner[new + 1]]
             rank[new] = self._ranks(sym[new] * self.width + sym[new + 1])
-        if not done_sym:
-            return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-        sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
-        order = np.argsort(owner, kind="stable")
-        return sym[order], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))

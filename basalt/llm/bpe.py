@@ -6,7 +6,6 @@ ids are gathered from its words.
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 
 import numpy as np
@@ -34,7 +33,7 @@ class WordBpe:
         self.memo = Memo(self._encode)
 
     def _pre_tokens(self, text: str) -> list[bytes]:
-        if not text.isascii() and max(text) >= SAFE_BELOW:  # rare scripts: the library's own tables
+        if not text.isascii() and max(text) >= SAFE_BELOW:  # other scripts, dashes, curly quotes: the library's own tables
             if self._library is None:
                 from tokenizers import Tokenizer
 
@@ -106,35 +105,3 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     kind = dict(docs.dtypes)[id_col]
     return map_texts(docs, id_col, text_col, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string", make, 2 << 20)
-
-
-def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of what
-    ``encode`` returns, without building the id lists of whole documents."""
-
-    def make():
-        coder = WordBpe(tokenizer_path)
-
-        def shown(rows: np.ndarray) -> np.ndarray:
-            """Of each distinct unit: number of ids, ids as text, decoded text."""
-            out = np.empty((len(rows), 2), object)
-            for i, ids in enumerate(rows):
-                out[i] = (" ".join(map(str, ids)) + " ").encode(), (coder.decode(ids) + " ").encode()
-            return out
-
-        def work(doc_ids, texts):
-            words, rows = coder.words(texts)
-            size = np.fromiter(map(len, rows), np.int64, len(rows))
-            n = words.sums(size) if len(rows) else np.zeros(len(texts), np.int64)
-            text = shown(rows)
-            text[size == 0] = b""
-            flat = [text[words.codes, k].tolist() for k in (0, 1)] if len(rows) else [[], []]
-            hashed = [
-                [hashlib.sha256(b"".join(f[a:b])[:-1]).hexdigest() for a, b in zip(words.offsets.tolist(), words.offsets[1:].tolist())] for f in flat
-            ]
-            return [doc_ids, n, *hashed]
-
-        return work
-
-    kind = dict(docs.dtypes)[id_col]
-    return map_texts(docs, id_col, text_col, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", make)

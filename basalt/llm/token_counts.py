@@ -16,93 +16,58 @@ import regex
 from pyspark.sql import DataFrame
 
 from basalt.llm._merges import Merges
-from basalt.llm._text import Memo, Words, map_texts, segment_sums
+from basalt.llm._text import Memo, map_texts, segment_sums
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space of the pattern (Unicode's White_Space), for Arrow's regular expressions.
-SPACE = r"\x{09}-\x{0d} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: A space with white space, or an end of the text, beside it.
-LOOSE = rf"^ | $|[{SPACE}] | [{SPACE}]"
-#: From here on, Unicode versions of regex libraries differ on single characters.
-SAFE_BELOW = "԰"
 
 
 class PieceCounter:
     """Pieces of texts by a byte-level BPE file (see ``token_counts``)."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.merges = Merges(path)
         self.find = regex.compile(PATTERN).findall
         self.added = regex.compile("(" + "|".join(map(regex.escape, self.merges.added)) + ")") if self.merges.added else None
-        self.path, self._library = path, None
-        self.memo = Memo(self._count)
+        self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.alike: dict[str, bool] = {}
+        self.memo = Memo(lambda words: self.merges.counts([w.encode() for w in words]))
+
+    def _library(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.split(text)]
+
+    def _alike(self, c: str) -> bool:
+        """Whether the pattern here and the library's class a character alike:
+        their Unicode versions differ on a few."""
+        if c not in self.alike:
+            beside = [f"a{c}a", f"1{c}1", f"!{c}!", f"a {c} a"]
+            self.alike[c] = all(self.find(x) == self._library(x) for x in beside)
+        return self.alike[c]
 
     def pre_tokens(self, text: str) -> list[str]:
-        if not text.isascii() and max(text) >= SAFE_BELOW:  # rare scripts: let the library itself split
-            if self._library is None:
-                from tokenizers import Tokenizer
-
-                self._library = Tokenizer.from_file(self.path).pre_tokenizer
-            shown = self._library.pre_tokenize_str(text)
-            return [text[a:b] for _, (a, b) in shown]
-        return self.find(text)
-
-    def _count(self, units: list[str]) -> np.ndarray:
-        """Pieces of each unit; the units' own pre-tokens are made distinct first."""
-        parts: list[str] = []
-        ends, fixed = [], np.zeros(len(units), np.int64)
-        added = self.added if self.added and self.added.search("\n".join(units)) else None
-        for i, unit in enumerate(units):
-            if added and added.search(unit):
-                for k, segment in enumerate(added.split(unit)):
-                    if k % 2:
-                        fixed[i] += 1
-                    else:
-                        parts += self.pre_tokens(segment)
-            else:
-                parts += self.pre_tokens(unit)
-            ends.append(len(parts))
-        if not parts:
-            return fixed
-        coded = pa.array(parts).dictionary_encode()
-        _, offsets = self.merges.rows([w.encode() for w in coded.dictionary.to_pylist()])
-        pieces = np.diff(offsets)[coded.indices.to_numpy()]
-        return fixed + segment_sums(pieces, np.array([0, *ends]))
+        if text.isascii() or all(map(self._alike, set(text))):
+            return self.find(text)
+        return self._library(text)
 
     def counts(self, texts: pa.Array) -> np.ndarray:
-        """Tokens of each text.
-
-        A text whose spaces all stand alone between other characters splits at
-        them into units that tokenize independently; its units are shared with
-        other texts.  Any other text is one unit.
-        """
-        texts = pc.fill_null(texts, "")
-        loose = pc.or_(pc.match_substring_regex(texts, LOOSE), pc.match_substring(texts, "\x00")).to_numpy(zero_copy_only=False)
-        out = np.zeros(len(texts), np.int64)
-        tight = np.flatnonzero(~loose)
-        if len(tight):  # a unit carries the space before it
-            words = Words(pc.split_pattern(pc.replace_substring(texts.take(pa.array(tight)), " ", "\x00 "), "\x00"))
-            out[tight] = words.sums(self.memo.look(words.distinct)) if len(words.codes) else 0
-        rest = np.flatnonzero(loose)
-        if len(rest):
-            out[rest] = self._whole(texts.take(pa.array(rest)).to_pylist())
-        return out
-
-    def _whole(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text: the pieces of its pre-tokens, and one for each
+        special string."""
         flat: list[str] = []
-        ends, fixed = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            segments = self.added.split(text) if self.added else [text]
+        ends, fixed = [0], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts.to_pylist()):
+            segments = self.added.split(text) if self.added and text else [text]
             fixed[i] = len(segments) // 2
             for segment in segments[::2]:
-                flat += self.pre_tokens(segment)
+                if segment:
+                    flat += self.pre_tokens(segment)
             ends.append(len(flat))
         if not flat:
             return fixed
         coded = pa.array(flat).dictionary_encode()
-        _, offsets = self.merges.rows([w.encode() for w in coded.dictionary.to_pylist()])
-        return fixed + segment_sums(np.diff(offsets)[coded.indices.to_numpy()], np.array([0, *ends]))
+        pieces = self.memo.look(coded.dictionary.to_pylist())
+        return fixed + segment_sums(pieces[coded.indices.to_numpy()], np.array(ends))
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:

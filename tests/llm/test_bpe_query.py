@@ -20,7 +20,7 @@ def test_digests_are_of_encoded_documents(spark, monkeypatch):
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     wanted = {(r.doc_id, len(r.ids), sha(" ".join(map(str, r.ids))), sha(r.decoded)) for r in real(docs, path).collect()}
     rows = queries.op7_bpe(spark, "")
-    assert {tuple(r) for r in rows.collect()} == wanted == {tuple(r) for r in bpe.digests(docs, path).collect()}
-    assert rows.columns == bpe.digests(docs, path).columns
+    assert {tuple(r) for r in rows.collect()} == wanted
+    assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     monkeypatch.setattr(bpe, "encode", lambda *a: real(*a).withColumn("decoded", F.lit("other")))
     assert {r.decoded_sha256 for r in queries.op7_bpe(spark, "").collect()} == {sha("other")}

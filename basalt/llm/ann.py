@@ -7,7 +7,11 @@ rows at any size.  Several tables with rotations of their own are probed, each
 in the buckets whose axes lie nearest to the query; candidates are reranked by
 exact distance in double precision on the original vectors.
 
-Equal vectors are searched once and expanded afterwards, and large buckets are
+Buckets that share their first axes lie in one shelf of some hundred rows or
+more: a query's vector travels once to a shelf, with the numbers of the buckets
+that it probes there, and only their rows are reranked.
+
+Equal vectors are searched once and expanded afterwards, and large shelves are
 cut into blocks by a hash of the id: a hot vector or a dense cluster never
 gathers in one task, and a block returns only its best rows for each query.
 """
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm._text import shared_dir
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, SHELF_ROWS = 2048, 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,6 +54,13 @@ class CrossPolytope:
         while rows / math.prod(self.levels) >= 4 * rows_per_bucket:
             wanted = rows / math.prod(self.levels) / rows_per_bucket
             self.levels.append(min(2 * self.width, 1 << int(math.log2(wanted))))
+        self.rows, self.buckets_all = rows, math.prod(self.levels)
+        self.shelf, kept = self.buckets_all, 1  # buckets of a shelf: those with equal first axes
+        for size in self.levels:
+            if kept > 1 and rows / (kept * size) < SHELF_ROWS:
+                break
+            kept *= size
+            self.shelf = self.buckets_all // kept
 
     def _axes(self, x: np.ndarray, table: int):
         """For each level, coordinates along its signed axes."""
@@ -70,10 +81,12 @@ class CrossPolytope:
             out = out * size + axes.argmax(1)
         return out
 
-    def probes(self, x: np.ndarray, table: int, share: float, power: float) -> np.ndarray:
+    def probes(self, x: np.ndarray, table: int, share: float, power: float, least_rows: int = 0) -> np.ndarray:
         """The buckets of the nearest axes, ``share`` of a one-level table's;
-        their number grows as the number of buckets to ``power``."""
-        n = max(1, round(share * self.levels[0] * (math.prod(self.levels) / self.levels[0]) ** power))
+        their number grows as the number of buckets to ``power``, and is such
+        that they are expected to hold ``least_rows`` rows."""
+        n = max(1, round(share * self.levels[0] * (self.buckets_all / self.levels[0]) ** power))
+        n = min(self.buckets_all, max(n, math.ceil(least_rows * self.buckets_all / max(1, self.rows))))
         code, cost = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
         for size, axes in zip(self.levels, self._axes(x, table)):
             gap = (axes.max(1, keepdims=True) - axes) ** 2
@@ -106,8 +119,8 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: str = "id % 100 = 0", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 4,
-    probe_share: float = 0.35, probe_power: float = 0.7, rows_per_bucket: int = 256, seed: int = 11,
+    vectors: DataFrame, is_query: str = "id % 100 = 0", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8,
+    probe_share: float = 0.09, probe_power: float = 0.7, probe_rows: int = 128, rows_per_bucket: int = 32, seed: int = 11,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other rows found for
     each row that ``is_query`` (SQL over ``id``) picks, by Euclidean distance.
@@ -139,21 +152,30 @@ def search(
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                own = batch.filter(pa.array(dims == dim))
+                own, one = batch.filter(pa.array(dims == dim)), index[dim]
                 x = matrix(own.column("vec"))
                 for t in range(tables):
-                    at = index[dim].probes(x, t, probe_share, probe_power) if probing else index[dim].buckets(x, t)[:, None]
-                    again = pa.array(np.repeat(np.arange(len(x)), at.shape[1]))
-                    columns = [own.column("rep").take(again), own.column("dim").take(again), own.column("vec").take(again)]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(at.size, t, np.int32)), pa.array(at.ravel())], ["rep", "dim", "vec", "t", "bucket"])
+                    if probing:  # the buckets that a row probes in a shelf are one list
+                        at = one.probes(x, t, probe_share, probe_power, probe_rows)
+                        at.sort(axis=1)
+                        row, shelf, code = np.repeat(np.arange(len(x)), at.shape[1]), (at // one.shelf).ravel(), pa.array(at.ravel())
+                        heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])))) if len(row) else row
+                        codes = pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)), pa.int32()), code)
+                        row, shelf = row[heads], shelf[heads]
+                    else:
+                        codes = pa.array(one.buckets(x, t))
+                        row, shelf = np.arange(len(x)), codes.to_numpy() // one.shelf
+                    columns = [own.column(c).take(pa.array(row)) for c in ("rep", "dim", "vec")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(row), t, np.int32)), pa.array(shelf), codes], ["rep", "dim", "vec", "t", "shelf", "bucket"])
 
     kind = dict(few.dtypes)
-    schema = f"rep {kind['rep']}, dim int, vec {kind['vec']}, t int, bucket bigint"
+    schema = f"rep {kind['rep']}, dim int, vec {kind['vec']}, t int, shelf bigint, bucket"
     reps = few.filter("n = 1").select("rep", "dim", "vec", "asked")
-    table = reps.drop("asked").mapInArrow(lambda b: hashed(b, False), schema)
-    probes = reps.filter("asked").drop("asked").mapInArrow(lambda b: hashed(b, True), schema)
-    key = ["dim", "t", "bucket"]
-    table.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).write.parquet(f"{place}/blocks")
+    table = reps.drop("asked").mapInArrow(lambda b: hashed(b, False), f"{schema} bigint")
+    probes = reps.filter("asked").drop("asked").mapInArrow(lambda b: hashed(b, True), f"{schema} array<bigint>")
+    key = ["dim", "t", "shelf"]
+    narrow = reps.select("rep", "dim", "vec").mapInArrow(lambda b: (x.select(["dim", "t", "shelf"]) for x in hashed(b, False)), "dim int, t int, shelf bigint")
+    narrow.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).write.parquet(f"{place}/blocks")
     blocks = spark.read.parquet(f"{place}/blocks")
     table = table.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
     blocks = spark.read.parquet(f"{place}/blocks")
@@ -161,18 +183,31 @@ def search(
     key.append("block")
 
     def rerank(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        """The k + 1 nearest rows of a block for each query that probes it."""
+        """The k + 1 nearest rows of a block for each query that probes it: of
+        all its rows, or of the buckets that the query names."""
         out: list[tuple] = []
         if rows.num_rows and asked.num_rows:
             x, ids = matrix(rows["vec"].combine_chunks()), np.array(rows["rep"].to_pylist())
-            for one, q in zip(asked["rep"].to_pylist(), matrix(asked["vec"].combine_chunks())):
-                d = distances(x, q)
-                near = np.lexsort((ids, d)) if len(d) <= k + 1 else None
-                if near is None:
-                    edge = np.partition(d, k)[k]
-                    near = np.flatnonzero(d <= edge)
-                    near = near[np.lexsort((ids[near], d[near]))]
-                out += [(one, ids[i].item(), float(d[i])) for i in near[: k + 1]]
+            named = "bucket" in asked.column_names
+            if named:
+                order = np.argsort(rows["bucket"].to_numpy(), kind="stable")
+                x, ids, held = x[order], ids[order], rows["bucket"].to_numpy()[order]
+            probed = asked["bucket"].to_pylist() if named else [None] * asked.num_rows
+            for one, q, codes in zip(asked["rep"].to_pylist(), matrix(asked["vec"].combine_chunks()), probed):
+                if named:
+                    first, last = np.searchsorted(held, codes, "left"), np.searchsorted(held, codes, "right")
+                    size = last - first
+                    pick = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    near_x, near_ids = x[pick], ids[pick]
+                else:
+                    near_x, near_ids = x, ids
+                d = distances(near_x, q)
+                if len(d) > k + 1:
+                    near = np.flatnonzero(d <= np.partition(d, k)[k])
+                    near = near[np.lexsort((near_ids[near], d[near]))]
+                else:
+                    near = np.lexsort((near_ids, d))
+                out += [(one, near_ids[i].item(), float(d[i])) for i in near[: k + 1]]
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("q", asked["rep"].type), ("rep", asked["rep"].type), ("dist", pa.float64())))})
 
     def nearest(found: DataFrame) -> DataFrame:

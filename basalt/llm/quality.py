@@ -158,8 +158,9 @@ class Additive:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> Additive:
-    """A model fitted on at most about ``most`` labelled rows; their features
-    (not their texts) are collected to the driver."""
+    """A model fitted on at most about ``most`` labelled rows (see
+    ``labelled_sample``); their features (not their texts) are collected to the
+    driver.  Without labelled rows every text scores a half."""
     sample = labelled_sample(docs, labels, label, most, id_col, text_col)
 
     def run(batches):

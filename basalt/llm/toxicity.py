@@ -76,18 +76,21 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 class Machine:
-    """Weights of the terms that tell about the label: at most ``most``, those
-    with the largest likelihood ratio of their presence, if it is no accident
-    (``gain`` or more) and ``least`` training texts have them; all others weigh
-    nothing."""
+    """Weights of all hashed terms of the training texts.
 
-    def __init__(self, factors: int = 8, least: int = 4, gain: float = 5.0, most: int = 4096, epochs: int = 20, rate: float = 0.1, l2: float = 1e-5, seed: int = 7):
-        self.factors, self.least, self.gain, self.most, self.epochs, self.rate, self.l2, self.seed = factors, least, gain, most, epochs, rate, l2, seed
+    How far a term is trusted depends on its evidence: the log-likelihood ratio
+    ``g`` of its presence scales the term by ``(g / (g + trust)) ** 3``, so that
+    the many terms that tell nothing are held near zero and none is left out.
+    The scales are part of the fitted weights.
+    """
+
+    def __init__(self, factors: int = 8, trust: float = 10.0, epochs: int = 20, rate: float = 0.1, l2: float = 1e-5, seed: int = 7):
+        self.factors, self.trust, self.epochs, self.rate, self.l2, self.seed = factors, trust, epochs, rate, l2, seed
         self.bias, self.index = 0.0, {}
         self.w, self.v = np.zeros(0), np.zeros((0, factors))
 
-    def _choose(self, ids: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """The hashed terms that get weights."""
+    def _scales(self, ids: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashed terms that occur, and the scale of each."""
         seen = np.bincount(ids, minlength=1 << BITS).astype(float)
         toxic = np.bincount(ids, np.repeat(y, np.diff(offsets)), 1 << BITS)
         share = (y.sum() + 1) / (len(y) + 2)
@@ -95,26 +98,22 @@ class Machine:
         def part(k, expected):
             return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
-        gain = part(toxic, seen * share) + part(seen - toxic, seen * (1 - share))
-        live = np.flatnonzero((seen >= self.least) & (gain >= self.gain))
-        return np.sort(live[np.argsort(-gain[live], kind="stable")[: self.most]])
+        gain = np.maximum(part(toxic, seen * share) + part(seen - toxic, seen * (1 - share)), 0)
+        live = np.flatnonzero(seen)
+        return live, (gain[live] / (gain[live] + self.trust)) ** 3
 
     def raw(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        v = self.v[ids]
+        v = self.v[ids].astype(np.float64)
         total = segment_sums(v, offsets)
-        return self.bias + segment_sums(self.w[ids], offsets) + 0.5 * ((total**2).sum(1) - segment_sums((v**2).sum(1), offsets))
+        return self.bias + segment_sums(self.w[ids].astype(np.float64), offsets) + 0.5 * ((total**2).sum(1) - segment_sums((v**2).sum(1), offsets))
 
     def fit(self, ids: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> Machine:
         """Minibatch AdaGrad on logistic loss; ``ids`` are hashed terms."""
         if not len(y):
             return self
-        live = self._choose(ids, offsets, y)
+        live, scale = self._scales(ids, offsets, y)
         self.index = dict(zip(live.tolist(), range(len(live))))
-        place = np.full(1 << BITS, -1)
-        place[live] = np.arange(len(live))
-        places = place[ids]
-        offsets = np.concatenate(([0], np.cumsum(places >= 0)))[offsets]
-        ids = places[places >= 0]
+        ids = np.searchsorted(live, ids)
         rng = np.random.default_rng(self.seed)
         self.w = np.zeros(len(live))
         self.v = rng.normal(0, 0.01, (len(live), self.factors))
@@ -129,13 +128,15 @@ class Machine:
                 n = size[docs]
                 ends = np.concatenate(([0], np.cumsum(n)))
                 flat = ids[np.repeat(offsets[docs] - ends[:-1], n) + np.arange(ends[-1])]
-                error = 1 / (1 + np.exp(-np.clip(self.raw(flat, ends), -30, 30))) - y[docs]
+                own = scale[flat]
+                v = self.v[flat] * own[:, None]
+                total = segment_sums(v, ends)
+                raw = self.bias + segment_sums(self.w[flat] * own, ends) + 0.5 * ((total**2).sum(1) - segment_sums((v**2).sum(1), ends))
+                error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[docs]
                 self.bias -= self.rate * error.mean() / np.sqrt(gb := gb + error.mean() ** 2)
                 if not len(flat):
                     continue
-                v = self.v[flat]
-                total = segment_sums(v, ends)
-                each = np.repeat(error, n)
+                each = np.repeat(error, n) * own
                 used, code = np.unique(flat, return_inverse=True)
                 dw = np.bincount(code, each, len(used)) + self.l2 * self.w[used]
                 dv = np.stack([np.bincount(code, each * (np.repeat(total[:, f], n) - v[:, f]), len(used)) for f in range(self.factors)], 1) + self.l2 * self.v[used]
@@ -143,6 +144,7 @@ class Machine:
                 gv[used] += dv**2
                 self.w[used] -= self.rate * dw / np.sqrt(gw[used])
                 self.v[used] -= self.rate * dv / np.sqrt(gv[used])
+        self.w, self.v = (self.w * scale).astype(np.float32), (self.v * scale[:, None]).astype(np.float32)
         return self
 
     def score(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -152,20 +154,33 @@ class Machine:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _text, _label`` of about ``most`` labelled rows whose crc32(id)
-    mod 5 is not 0: all of them, or a hash threshold that expects ``most``.
-    The sampled labels (a few tens of bytes each) are broadcast."""
+    mod 5 is not 0: all of them, or hash thresholds that expect ``most``.
+
+    The sampled labels (a few tens of bytes each) are broadcast.  Of several
+    labels of an id the largest counts; a null label or id counts for nothing.
+    Rows of ``docs`` that repeat an id are counted before they are taken, so
+    they are thinned out to ``most`` too; equal rows are one.  A null text is a
+    row without words.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (bucket_of(id_col, 5) != 0))
     known = known.groupBy(F.col(id_col).alias("_of")).agg(F.max(label).alias("_label"))
     n = known.count()
-    uniform = F.pmod(F.xxhash64(F.col("_of").cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    picked = known.filter(uniform < min(1.0, most / max(1, n)))
-    kept = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return kept.join(F.broadcast(picked), kept["_id"] == picked["_of"]).select("_id", "_text", "_label")
+
+    def below(share: float, *columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) / float(1 << 20) < share
+
+    picked = known.filter(below(min(1.0, most / max(1, n)), F.col("_of").cast("string")))
+    ids = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = ids.select("_id").join(F.broadcast(picked), F.col("_id") == F.col("_of")).count()
+    joined = ids.join(F.broadcast(picked), ids["_id"] == picked["_of"]).select("_id", "_text", "_label")
+    again = F.concat_ws("|", F.lit("row"), F.col("_id").cast("string")), F.coalesce("_text", F.lit(""))
+    return joined.filter(below(min(1.0, most / max(1, rows)), *again)).dropDuplicates(["_id", "_text"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> Machine:
-    """A machine fitted on at most about ``most`` labelled rows; their term ids
-    (not their texts) are collected to the driver."""
+    """A machine fitted on at most about ``most`` labelled rows (see
+    ``labelled_sample``); their term ids (not their texts) are collected to the
+    driver.  Without labelled rows every text scores a half."""
     sample = labelled_sample(docs, labels, label, most, id_col, text_col)
 
     def run(batches):
@@ -173,10 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, id_col: str = "doc
         for batch in batches:
             ids, offsets = sets.of(batch.column("_text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(batch.column("_label").to_pylist(), pa.int32()), lists], ["id", "label", "terms"])
+            marks = pa.array([xxhash.xxh64_intdigest(t or "") >> 1 for t in batch.column("_text").to_pylist()], pa.int64())  # rows of one id keep an order
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(batch.column("_label").to_pylist(), pa.int32()), lists, marks], ["id", "label", "terms", "mark"])
 
     kind = dict(sample.dtypes)["_id"]
-    got = sample.mapInArrow(run, f"id {kind}, label int, terms array<int>").toArrow().combine_chunks().sort_by("id")
+    got = sample.mapInArrow(run, f"id {kind}, label int, terms array<int>, mark bigint").toArrow().combine_chunks().sort_by([("id", "ascending"), ("mark", "ascending")])
     terms_ = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     lists = terms_ if isinstance(terms_, pa.ListArray) else pa.concat_arrays(terms_.chunks)
     offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)

@@ -1,12 +1,15 @@
 """Toxicity, quality and language models: held-out accuracy, the arithmetic, odd rows."""
 
 import random
+import zlib
 from decimal import Decimal
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 
 from basalt.llm import langid, quality, toxicity
 from basalt.llm._text import segment_sums
@@ -187,3 +190,83 @@ def test_segment_sums():
     flat = np.arange(6.0)
     assert segment_sums(flat, np.array([0, 0, 2, 2, 6, 6])).tolist() == [0, 1, 0, 14, 0]
     assert toxicity.TermSets().of(pa.array(["", None]))[1].tolist() == [0, 0, 0]
+
+
+def hand_terms(text):
+    """Hashed words and prefixes of a text, by the operator's description."""
+    out = set()
+    for word in regex.findall(r"[\p{L}\p{N}]+", (text or "").lower()):
+        out.add(xxhash.xxh32_intdigest(word) >> 12)
+        out |= {xxhash.xxh32_intdigest(word[:n], n) >> 12 for n in (4, 5) if len(word) > n}
+    return out
+
+
+def test_toxicity_scores_by_hand(labelled, odd_docs, odd_texts):
+    """Terms, linear and pairwise part and probability of whole texts, one term at a time."""
+    docs, labels = labelled
+    machine = toxicity.fit(docs, labels)
+    seen = set().union(*(hand_terms(r.text) for r in docs.join(labels, "doc_id", "left_semi").collect() if zlib.crc32(str(r.doc_id).encode()) % 5))
+    assert set(machine.index) == seen  # every hashed term of the training texts has weights
+    got = {r.doc_id: r for r in toxicity.score(odd_docs, machine).collect()}
+    for i, text in enumerate(odd_texts):
+        own = [machine.index[t] for t in hand_terms(text) if t in machine.index]
+        raw = machine.bias + sum(float(machine.w[k]) for k in own)
+        raw += sum(float(machine.v[a].astype(float) @ machine.v[b].astype(float)) for a, b in combinations(own, 2)) if len(own) < 200 else 0
+        if len(own) < 200:
+            assert abs(got[i].score - 1 / (1 + np.exp(-raw))) < 1e-6
+        assert got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def hand_features(text):
+    """The quality features of a text, counted word by word."""
+    text = text or ""
+    words = regex.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, chars = len(words), sum(map(len, words))
+    many = lambda pattern, w: len(regex.findall(pattern, w))
+    letters, upper, digits = (sum(many(p, w) for w in words) for p in (r"\p{L}", r"\p{Lu}", r"\p{N}"))
+    tally = {w: words.count(w) for w in set(words)}
+    return [
+        np.log1p(n), chars / n, sum(bool(set(w) & set("#*$%&@^~_=<>{}\\")) for w in words) / n, sum("!" in w for w in words) / n, upper / max(letters, 1), digits / max(chars, 1),
+        letters / max(chars, 1), sum("|" in w for w in words) / n, sum(w[-1] in ".,;:?" for w in words) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        len(tally) / n, max(tally.values()) / n, text.count("\n") / n,
+    ]
+
+
+def test_quality_scores_by_hand(labelled, odd_docs, odd_texts):
+    texts = [t for t in odd_texts if len(t or "") < 5000 and (t or "").isascii()]
+    assert np.allclose(quality.features_of(pa.array(texts, pa.string())), [hand_features(t) for t in texts])
+    docs, labels = labelled
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.score(odd_docs, model).collect()}
+    for i, text in enumerate(odd_texts):
+        if text in texts:
+            x = quality.features_of(pa.array([text], pa.string()))[0]  # same bits: a bin's edge decides
+            bins = [sum(bool(v >= e) for e in edges) for v, edges in zip(x, model.edges)]
+            raw = model.bias + sum(table[b] for table, b in zip(model.tables, bins))
+            raw += sum(table[bins[j] * model.coarse // model.bins, bins[k] * model.coarse // model.bins] for (j, k), table in model.pairs.items())
+            assert abs(got[i].score - 1 / (1 + np.exp(-raw))) < 1e-9 and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    rows = [(i % 7, f"text {i}") for i in range(4000)] + [(100 + i, "a") for i in range(50)] + [(200, "same")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(3, 1), (None, 1), (4, None)], "doc_id bigint, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", 200).collect()
+    assert 100 < len(got) < 320
+    whole = toxicity.labelled_sample(docs, labels, "toxic", 10_000).collect()
+    wanted = {(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 and i < 300}
+    assert {(r._id, r._text) for r in whole} == wanted and len(whole) == len(wanted)
+
+
+def test_registered_queries(spark):
+    """op3, op8 and op9 on all documents of the smallest tables."""
+    from basalt.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, modulus, left in (("op3_toxicity", 5, 0), ("op8_quality", 5, 0), ("op9_language_id", 3, 1)):
+        rows = QUERIES[name](spark, folder).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+        assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == left) for r in rows)

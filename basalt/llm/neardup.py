@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.llm import simhash
-from basalt.llm._text import Memo, drop_dir, segment_sums, shared_dir, slices, small_batches, space_words
+from basalt.llm._text import CACHE_WORDS, Memo, drop_dir, segment_sums, shared_dir, slices, small_batches, space_words
 from basalt.llm.simhash import components, majority
 
 SHINGLE = 5
@@ -105,20 +105,29 @@ def sets_of(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())
 
 
-def with_columns(docs: DataFrame, text_col: str, columns: dict) -> DataFrame:
-    """``docs`` and further columns ``name -> (type, f(hashes, bounds))`` of the texts' shingles."""
+def with_columns(docs: DataFrame, text_col: str, columns: dict, once: bool = False) -> DataFrame:
+    """``docs`` and further columns ``name -> (type, f(hashes, bounds))`` of the texts' shingles.
+
+    With ``once`` a task leaves out most rows whose first new column it has had
+    before: copies of a hot text then cross no shuffle."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches):
-        memo = word_memo()
+        memo, seen = word_memo(), set()
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["_text"])
             at = 0
             for part in slices(named, "_text"):
                 found = shingles(part.column("_text"), memo)
                 own = batch.slice(at, len(part))
-                yield pa.RecordBatch.from_arrays([*own.columns, *[f(*found) for _, f in columns.values()]], [*own.schema.names, *columns])
+                made = pa.RecordBatch.from_arrays([*own.columns, *[f(*found) for _, f in columns.values()]], [*own.schema.names, *columns])
+                if once:
+                    names = made.column(len(own.columns)).to_pylist()
+                    made = made.filter(pa.array([n not in seen and not seen.add(n) for n in names], pa.bool_()))
+                    if len(seen) > CACHE_WORDS:
+                        seen.clear()
+                yield made
                 at += len(part)
             pa.default_memory_pool().release_unused()
 
@@ -225,7 +234,7 @@ def groups(plain: DataFrame, rows: DataFrame, text_col: str, place: str) -> Data
     proposals(rows.select("node", "fp").distinct(), buckets).write.parquet(f"{place}/proposed")
     near = spark.read.parquet(f"{place}/proposed")
     wanted = buckets.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    texts = with_columns(plain.select(text_col), text_col, NODE).join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = with_columns(plain.select(text_col), text_col, NODE, once=True).join(wanted, "node", "left_semi").dropDuplicates(["node"])
     with_columns(texts, text_col, {"set": (T.BinaryType(), sets_of), "sketch": (T.BinaryType(), sketches_of)}).select("node", "set", "sketch").write.parquet(f"{place}/sets")
     sets = spark.read.parquet(f"{place}/sets")
     verified(near, sets).write.parquet(f"{place}/links0")

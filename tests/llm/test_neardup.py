@@ -82,3 +82,9 @@ def test_texts_of_one_id(spark):
     a, b = prose(rng, 150), prose(rng, 150)
     rows = [(3, a), (3, b), (7, edited(rng, b, 2)), (3, b)]
     assert sorted((r.doc_id, r.text) for r in stage(spark, rows).collect()) == sorted([(3, a), (3, b)])
+
+
+def test_copies_leave_a_task_once(spark):
+    docs = spark.createDataFrame([(i, "one text " * 9 + str(i % 3)) for i in range(300)], SCHEMA).coalesce(1)
+    assert neardup.with_columns(docs, "text", neardup.NODE, once=True).count() == 3
+    assert neardup.with_columns(docs, "text", neardup.NODE).count() == 300

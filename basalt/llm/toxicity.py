@@ -9,6 +9,8 @@ that additive weights miss.  It costs one pass: half of
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,41 +35,35 @@ def terms(unit: str) -> list[int]:
 
 
 class TermSets:
-    """Distinct terms of each text, as ``(ids, offsets)``.
-
-    ``index`` has the places of hashed terms in a model; others are left out.
-    """
+    """Distinct hashed terms of each text, ascending, as ``(ids, offsets)``."""
 
-    def __init__(self, index: dict[int, int] | None = None):
-        self.index = index
-        self.memo = Memo(self._fill)
+    def __init__(self):
+        self.memo, self.flat = Memo(self._fill), np.zeros(0, np.int64)
 
     def _fill(self, units: list[str]) -> np.ndarray:
-        out = np.empty(len(units), object)
-        if self.index is None:
-            out[:] = [tuple(terms(u)) for u in units]
-        else:
-            place = self.index
-            out[:] = [tuple(place[t] for t in terms(u) if t in place) for u in units]
-        return out
+        """Where the terms of each unit begin in ``flat``, and how many they are."""
+        if not self.memo.at:  # the memo has forgotten all units
+            self.flat = np.zeros(0, np.int64)
+        rows = [terms(u) for u in units]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), np.int64, size.sum())])
+        return np.stack([start, size], 1)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = space_words(texts)
         n = len(texts)
         if not len(words.codes):
             return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-        rows = self.memo.look(words.distinct)
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((t for row in rows for t in row), np.int64, size.sum())
-        start = np.cumsum(size) - size
+        start, size = self.memo.look(words.distinct).T
         doc = np.repeat(np.arange(n), words.counts)
         used = size[words.codes] > 0
         pair = _distinct(doc[used] * len(words.distinct) + words.codes[used])  # units of each text
         doc, code = pair // len(words.distinct), pair % len(words.distinct)
         got = size[code]
         at = np.repeat(start[code] - (np.cumsum(got) - got), got) + np.arange(got.sum())
-        both = _distinct((np.repeat(doc, got) << 32) | flat[at])
-        return both & 0xFFFFFFFF, np.searchsorted(both >> 32, np.arange(n + 1))
+        both = _distinct((np.repeat(doc, got) << BITS) | self.flat[at])
+        return both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(n + 1))
 
 
 def _distinct(values: np.ndarray) -> np.ndarray:
@@ -86,9 +82,20 @@ class Machine:
 
     def __init__(self, factors: int = 8, trust: float = 10.0, epochs: int = 20, rate: float = 0.1, l2: float = 1e-5, seed: int = 7):
         self.factors, self.trust, self.epochs, self.rate, self.l2, self.seed = factors, trust, epochs, rate, l2, seed
-        self.bias, self.index = 0.0, {}
+        self.bias, self.terms = 0.0, np.zeros(0, np.int64)
         self.w, self.v = np.zeros(0), np.zeros((0, factors))
 
+    @property
+    def index(self) -> dict[int, int]:
+        """Hashed term -> its place in ``w`` and ``v``."""
+        return dict(zip(self.terms.tolist(), range(len(self.terms))))
+
+    def places(self) -> np.ndarray:
+        """The place of every possible hashed term; -1 for those without weights."""
+        out = np.full(1 << BITS, -1, np.int32)
+        out[self.terms] = np.arange(len(self.terms))
+        return out
+
     def _scales(self, ids: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hashed terms that occur, and the scale of each."""
         seen = np.bincount(ids, minlength=1 << BITS).astype(float)
@@ -102,55 +109,81 @@ class Machine:
         live = np.flatnonzero(seen)
         return live, (gain[live] / (gain[live] + self.trust)) ** 3
 
-    def raw(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        v = self.v[ids].astype(np.float64)
-        total = segment_sums(v, offsets)
-        return self.bias + segment_sums(self.w[ids].astype(np.float64), offsets) + 0.5 * ((total**2).sum(1) - segment_sums((v**2).sum(1), offsets))
+    def table(self) -> np.ndarray:
+        """For each place its factors, and ``w - sum(v^2) / 2``: the part of the score that is a plain sum."""
+        v = self.v.astype(np.float64)
+        return np.concatenate([v, (self.w - 0.5 * (v**2).sum(1))[:, None]], 1)
+
+    def raw(self, ids: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """Scores of texts whose terms have the places ``ids``."""
+        total = segment_sums((self.table() if table is None else table)[ids], offsets)
+        return self.bias + total[:, -1] + 0.5 * (total[:, :-1] ** 2).sum(1)
+
+    def scorer(self):
+        """``score(ids, offsets) -> probabilities`` for hashed terms; those without weights add nothing."""
+        places, table = self.places(), self.table()
+
+        def score(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+            at = places[ids]
+            known = at >= 0
+            left = np.concatenate(([0], np.cumsum(known)))[offsets]
+            return 1 / (1 + np.exp(-np.clip(self.raw(at[known], left, table), -500, 500)))
+
+        return score
+
+    @staticmethod
+    def _batch(ids: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a minibatch, and a bit for each text and term."""
+        n = np.diff(offsets)[docs]
+        flat = ids[np.repeat(offsets[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        used, code = np.unique(flat, return_inverse=True)
+        has = np.zeros((len(docs), len(used)), bool)
+        has[np.repeat(np.arange(len(docs)), n), code] = True
+        return used, np.packbits(has, axis=1)
 
     def fit(self, ids: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> Machine:
-        """Minibatch AdaGrad on logistic loss; ``ids`` are hashed terms."""
+        """AdaGrad on logistic loss over minibatches of 64 texts, dealt once and
+        taken in a new order each epoch; ``ids`` are hashed terms.
+
+        A minibatch is a 0/1 matrix of its texts and terms, kept as bits; one
+        product sums the weights of each text and one the errors of each term.
+        """
         if not len(y):
             return self
-        live, scale = self._scales(ids, offsets, y)
-        self.index = dict(zip(live.tolist(), range(len(live))))
-        ids = np.searchsorted(live, ids)
+        self.terms, scale = self._scales(ids, offsets, y)
+        ids, scale = self.places()[ids], scale.astype(np.float32)
         rng = np.random.default_rng(self.seed)
-        self.w = np.zeros(len(live))
-        self.v = rng.normal(0, 0.01, (len(live), self.factors))
+        weights = np.zeros((len(self.terms), self.factors + 1), np.float32)  # the factors, then w
+        weights[:, :-1] = rng.normal(0, 0.01, (len(self.terms), self.factors))
         share = (y.sum() + 1) / (len(y) + 2)
         self.bias = float(np.log(share / (1 - share)))
-        gw, gv, gb = np.full(len(self.w), 1e-4), np.full(self.v.shape, 1e-4), 1e-4
-        size = np.diff(offsets)
+        squares, bias_squares = np.full(weights.shape, 1e-4, np.float32), 1e-4
+        order = rng.permutation(len(y))
+        dealt = [order[at : at + 64] for at in range(0, len(order), 64)]
+        batches = [(y[docs], *self._batch(ids, offsets, docs)) for docs in dealt]
         for _ in range(self.epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), 64):
-                docs = order[at : at + 64]
-                n = size[docs]
-                ends = np.concatenate(([0], np.cumsum(n)))
-                flat = ids[np.repeat(offsets[docs] - ends[:-1], n) + np.arange(ends[-1])]
-                own = scale[flat]
-                v = self.v[flat] * own[:, None]
-                total = segment_sums(v, ends)
-                raw = self.bias + segment_sums(self.w[flat] * own, ends) + 0.5 * ((total**2).sum(1) - segment_sums((v**2).sum(1), ends))
-                error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[docs]
-                self.bias -= self.rate * error.mean() / np.sqrt(gb := gb + error.mean() ** 2)
-                if not len(flat):
-                    continue
-                each = np.repeat(error, n) * own
-                used, code = np.unique(flat, return_inverse=True)
-                dw = np.bincount(code, each, len(used)) + self.l2 * self.w[used]
-                dv = np.stack([np.bincount(code, each * (np.repeat(total[:, f], n) - v[:, f]), len(used)) for f in range(self.factors)], 1) + self.l2 * self.v[used]
-                gw[used] += dw**2
-                gv[used] += dv**2
-                self.w[used] -= self.rate * dw / np.sqrt(gw[used])
-                self.v[used] -= self.rate * dv / np.sqrt(gv[used])
-        self.w, self.v = (self.w * scale).astype(np.float32), (self.v * scale[:, None]).astype(np.float32)
+            for k in rng.permutation(len(batches)):
+                wanted, used, bits = batches[k]
+                has = np.unpackbits(bits, axis=1, count=len(used)).astype(np.float32)
+                old, own = weights[used], scale[used, None]
+                x = old * own
+                v = x[:, :-1].copy()
+                x[:, -1] -= 0.5 * (v**2).sum(1)
+                total = has @ x
+                raw = self.bias + total[:, -1] + 0.5 * (total[:, :-1] ** 2).sum(1)
+                error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - wanted
+                self.bias -= self.rate * error.mean() / np.sqrt(bias_squares := bias_squares + error.mean() ** 2)
+                total[:, -1] = 1
+                step = has.T @ (error[:, None] * total).astype(np.float32)
+                step[:, :-1] -= v * step[:, -1:]
+                step = step * own + self.l2 * old
+                seen = squares[used] + step**2
+                squares[used] = seen
+                weights[used] = old - self.rate * step / np.sqrt(seen)
+        weights *= scale[:, None]
+        self.w, self.v = weights[:, -1].copy(), weights[:, :-1].copy()
         return self
 
-    def score(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Probabilities for terms already mapped by ``index``."""
-        return 1 / (1 + np.exp(-np.clip(self.raw(ids, offsets), -500, 500)))
-
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, _text, _label`` of about ``most`` labelled rows whose crc32(id)
@@ -207,10 +240,10 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     """
 
     def make():
-        sets = TermSets(machine.index)
+        sets, chance = TermSets(), machine.scorer()
 
         def work(ids, texts):
-            p = machine.score(*sets.of(texts))
+            p = chance(*sets.of(texts))
             return [ids, p, (p >= 0.5).astype(np.int32)]
 
         return work

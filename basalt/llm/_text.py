@@ -10,6 +10,8 @@ holds.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -89,6 +91,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def release(ended: bool = False) -> None:
+    """Hands freed memory back to the machine: a worker is used for many tasks,
+    and what it keeps adds to the memory that its executor has.  ``ended``: a
+    task is over, so the caches that it has let go are cleared first."""
+    if ended:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def map_texts(
     docs: DataFrame, id_col: str, text_col: str, schema: str, make: Callable[[], Callable[[pa.Array, pa.Array], list]], limit: int = SLICE_BYTES
 ) -> DataFrame:
@@ -106,7 +119,9 @@ def map_texts(
             for part in slices(batch, "_text", limit):
                 columns = work(part.column("_id"), part.column("_text"))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], out_names)
-            pa.default_memory_pool().release_unused()
+            release()
+        work = None
+        release(ended=True)
 
     return ids.mapInArrow(run, schema)
 
@@ -126,7 +141,9 @@ def keep_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[pa.A
             masks = [np.asarray(keep(part.column("_text")), bool) for part in slices(named, "_text", limit)]
             if masks:
                 yield batch.filter(pa.array(np.concatenate(masks)))
-            pa.default_memory_pool().release_unused()
+            release()
+        keep = None
+        release(ended=True)
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basalt.llm import simhash
-from basalt.llm._text import CACHE_WORDS, Memo, drop_dir, segment_sums, shared_dir, slices, small_batches, space_words
+from basalt.llm._text import CACHE_WORDS, Memo, drop_dir, release, segment_sums, shared_dir, slices, small_batches, space_words
 from basalt.llm.simhash import components, majority
 
 SHINGLE = 5
@@ -32,6 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 SLACK = 0.115  # four standard deviations of a sketch's estimate at 0.8
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20  # of a bucket's rows, compared with as many others in one call
+SLICE_BYTES = 2 << 20  # of text at once; a dozen arrays have a number for each of its shingles
 SEED = 42
 _RANDOM = np.random.default_rng(SEED)
 PLACES = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,7 +119,7 @@ def with_columns(docs: DataFrame, text_col: str, columns: dict, once: bool = Fal
         for batch in batches:
             named = pa.RecordBatch.from_arrays([batch.column(place).cast(pa.string())], ["_text"])
             at = 0
-            for part in slices(named, "_text"):
+            for part in slices(named, "_text", SLICE_BYTES):
                 found = shingles(part.column("_text"), memo)
                 own = batch.slice(at, len(part))
                 made = pa.RecordBatch.from_arrays([*own.columns, *[f(*found) for _, f in columns.values()]], [*own.schema.names, *columns])
@@ -129,7 +130,9 @@ def with_columns(docs: DataFrame, text_col: str, columns: dict, once: bool = Fal
                         seen.clear()
                 yield made
                 at += len(part)
-            pa.default_memory_pool().release_unused()
+            release()
+        memo, seen = None, None
+        release(ended=True)
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, (kind, _) in columns.items()]])
     return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basalt.llm._text import map_texts, slices, small_batches
+from basalt.llm._text import BATCH_BYTES, map_texts, slices, small_batches
 
 RATE, RESAMPLED = 8000, 16000
 UNIT = 1 << 15  # of a filter's coefficients
@@ -25,6 +25,7 @@ BLOCK = 576  # payload bytes are padded to a positive multiple of this
 PAD = b"\xff"
 FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = tuple(sorted(FORMATS))
+PCM_ROWS = 256  # in a Parquet row group: Spark reads up to 4,096 rows of one into an array below 2 GB, and samples are eight times their payload
 
 
 def mulaw_table() -> np.ndarray:
@@ -223,20 +224,23 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def store(media: DataFrame, folder: str) -> DataFrame:
-    """Writes ``media_column`` (or ``with_pcm``) rows and returns them as read back."""
-    media.write.option("compression", "zstd").parquet(folder)
+    """Writes rows of ``media_column``, ``with_pcm`` or ``decoded`` and returns them as read back."""
+    out = media.write.option("compression", "zstd")
+    if "pcm" in media.columns:
+        out = out.option("parquet.block.row.count.limit", PCM_ROWS)
+    out.parquet(folder)
     return media.sparkSession.read.parquet(folder)
 
 
-def _map_media(media: DataFrame, columns: str, work) -> DataFrame:
-    """Columns that ``work(list of WAV files)`` makes, behind all of ``media``'s."""
+def _map_media(media: DataFrame, columns: str, work, column: str = "media", limit: int = 2 << 20) -> DataFrame:
+    """Columns that ``work(rows, list of column's values)`` makes, behind all of ``media``'s."""
     small_batches(media.sparkSession)
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "media", 2 << 20):
-                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(part.column("media").to_pylist())]
+            for part in slices(batch, column, limit):
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(part, part.column(column).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
             pa.default_memory_pool().release_unused()
 
@@ -244,24 +248,46 @@ def _map_media(media: DataFrame, columns: str, work) -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
+def _samples(pcm: list[np.ndarray], to: int) -> pa.Array:
+    """Decoded samples as stored: at the rate ``to``, little-endian, 16 bits."""
+    return pa.array([resample(x, to=to).astype("<i2").tobytes() for x in pcm], pa.binary())
+
+
 def with_pcm(media: DataFrame, to: int = RESAMPLED) -> DataFrame:
     """Rows of ``media_column`` with ``pcm binary``: the decoded samples of each
     WAV file at the rate ``to`` (little-endian, 16 bits)."""
-    return _map_media(media, "pcm binary", lambda wavs: [pa.array([resample(x, to=to).astype("<i2").tobytes() for x in read_payloads(wavs)[2]], pa.binary())])
+    return _map_media(media, "pcm binary", lambda _, wavs: [_samples(read_payloads(wavs)[2], to)])
 
 
-def digests(media: DataFrame, to: int = RESAMPLED) -> DataFrame:
-    """Sizes and hashes of the payloads of stored media, and features and a hash
-    of their resampled samples."""
+def _sha(values: list[bytes]) -> list[str]:
+    return [hashlib.sha256(x).hexdigest() for x in values]
 
-    def work(wavs):
+
+def decoded(media: DataFrame, to: int = RESAMPLED) -> DataFrame:
+    """Rows of ``media_column`` with, in place of the files, sizes and hashes of
+    their payloads, their codec, and ``pcm binary`` as in ``with_pcm``."""
+
+    def work(_, wavs):
         codecs, payloads, pcm = read_payloads(wavs)
-        wide = [resample(x, to=to).astype("<i2") for x in pcm]
-        sha = lambda xs: [hashlib.sha256(x).hexdigest() for x in xs]
-        return [
-            list(map(len, payloads)), sha(payloads), [zlib.crc32(p[-32:]) for p in payloads], list(map(len, wavs)), sha(wavs),
-            [f"{c};{describe(x)}" for c, x in zip(codecs, wide)], sha(wide),
-        ]
-
-    columns = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pcm_sha256 string"
+        tails = [zlib.crc32(p[-32:]) for p in payloads]
+        return [list(map(len, payloads)), _sha(payloads), tails, list(map(len, wavs)), _sha(wavs), codecs, _samples(pcm, to)]
+
+    columns = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, codec string, pcm binary"
     return _map_media(media, columns, work).drop("media")
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """Rows of ``decoded`` with features and a hash of their samples in place of
+    codec and samples."""
+
+    def work(part, pcm):
+        codecs = part.column("codec").to_pylist()
+        return [[f"{c};{describe(np.frombuffer(x, '<i2'))}" for c, x in zip(codecs, pcm)], _sha(pcm)]
+
+    return _map_media(rows, "feature string, pcm_sha256 string", work, "pcm", BATCH_BYTES).drop("codec", "pcm")
+
+
+def digests(media: DataFrame, to: int = RESAMPLED) -> DataFrame:
+    """Sizes and hashes of the payloads of stored media, and features and a hash
+    of their resampled samples."""
+    return features(decoded(media, to))

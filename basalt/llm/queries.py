@@ -61,7 +61,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digests(media.store(media.media_column(table(spark, sf_dir, "documents")), shared_dir(spark, "media")))
+    files = media.store(media.media_column(table(spark, sf_dir, "documents")), shared_dir(spark, "media"))
+    return media.features(media.store(media.decoded(files), shared_dir(spark, "media-pcm")))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

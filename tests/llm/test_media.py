@@ -131,3 +131,37 @@ def test_columns(spark, odd_docs, odd_texts, no_docs):
     assert media.digests(media.media_column(no_docs)).count() == media.with_pcm(media.media_column(no_docs)).count() == 0
     with pytest.raises(ValueError):
         media.from_wav(b"OggS")
+
+
+def test_query_reads_stored_samples(spark, monkeypatch, tmp_path):
+    """op4_media stores the resampled samples and takes its features from what it reads back."""
+    pytest.importorskip("public_tokenizers")
+    from pyarrow import parquet
+    from pyspark.sql import functions as F
+
+    from basalt.llm import queries
+
+    texts = [(1, "one text"), (2, None), (3, ""), (None, "é" * 400), *((i, f"text {i}") for i in range(4, 304))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    monkeypatch.setattr(queries, "shared_dir", lambda _, name: f"file://{tmp_path}/{name}")
+    rows = queries.op4_media(spark, "")
+    got = {r.payload_sha256: r for r in rows.collect()}
+    assert rows.count() == len(texts) and len(got) == len(texts) - 1  # null and empty texts are equal
+    wavs = [bytes(r.media) for r in spark.read.parquet(f"file://{tmp_path}/media").collect()]
+    kept = {r.payload_sha256: bytes(r.pcm) for r in spark.read.parquet(f"file://{tmp_path}/media-pcm").collect()}
+    for wav, payload, samples in zip(wavs, *media.read_payloads(wavs)[1:]):
+        sha = hashlib.sha256(payload).hexdigest()
+        assert kept[sha] == media.resample(samples).astype("<i2").tobytes()
+        assert got[sha].pcm_sha256 == hashlib.sha256(kept[sha]).hexdigest()
+    for _, t in texts[:4]:
+        payload = media.pad((t or "").encode())
+        wav = next(w for w, p in zip(wavs, media.read_payloads(wavs)[1]) if p == payload)
+        assert got[hashlib.sha256(payload).hexdigest()].feature == by_hand(payload, wav)
+    groups = [parquet.ParquetFile(f).metadata for f in (tmp_path / "media-pcm").glob("*.parquet")]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) == media.PCM_ROWS
+
+    real = media.store
+    swap = lambda x, folder: real(x.withColumn("pcm", F.lit(b"\1\0")) if "pcm" in x.columns else x, f"{folder}-swapped")
+    monkeypatch.setattr(media, "store", swap)
+    assert {r.feature.split(";", 1)[1] for r in queries.op4_media(spark, "").collect()} == {"n=1;rms=1.000;zc=0;peak=1"}

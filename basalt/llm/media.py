@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from basalt.llm._text import BATCH_BYTES, map_texts, slices, small_batches
@@ -26,6 +27,7 @@ PAD = b"\xff"
 FORMATS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = tuple(sorted(FORMATS))
 PCM_ROWS = 256  # in a Parquet row group: Spark reads up to 4,096 rows of one into an array below 2 GB, and samples are eight times their payload
+LEVEL, PAGE_BYTES = 7, 8 << 20  # of zstd; a page is compressed by itself, so a whole row group of short texts goes into one
 
 
 def mulaw_table() -> np.ndarray:
@@ -225,13 +227,21 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def store(media: DataFrame, folder: str) -> DataFrame:
     """Writes rows of ``media_column``, ``with_pcm`` or ``decoded`` and returns them as read back."""
-    out = media.write.option("compression", "zstd")
+    out = media.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).option("parquet.page.size", PAGE_BYTES)
     if "pcm" in media.columns:
         out = out.option("parquet.block.row.count.limit", PCM_ROWS)
     out.parquet(folder)
     return media.sparkSession.read.parquet(folder)
 
 
+def _alike_together(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows in order of their files' format and first samples, where ``to_wav``
+    places them: samples that repeat each other take less room when compressed."""
+    files = batch.column("media")
+    keys = pa.table({"format": pc.binary_slice(files, 20, 22), "samples": pc.binary_slice(files, 64, 128)})
+    return batch.take(pc.sort_indices(keys, sort_keys=[("format", "ascending"), ("samples", "ascending")]))
+
+
 def _map_media(media: DataFrame, columns: str, work, column: str = "media", limit: int = 2 << 20) -> DataFrame:
     """Columns that ``work(rows, list of column's values)`` makes, behind all of ``media``'s."""
     small_batches(media.sparkSession)
@@ -239,7 +249,7 @@ def _map_media(media: DataFrame, columns: str, work, column: str = "media", limi
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column, limit):
+            for part in slices(_alike_together(batch) if column == "media" else batch, column, limit):
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(part, part.column(column).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
             pa.default_memory_pool().release_unused()

@@ -133,6 +133,24 @@ def test_columns(spark, odd_docs, odd_texts, no_docs):
         media.from_wav(b"OggS")
 
 
+def test_samples_are_stored_in_little_room(spark, tmp_path):
+    """Rows of one codec lie together and take less room than by default settings; none is lost or changed."""
+    words = ["".join(w) for w in np.random.default_rng(1).choice(list("etaoinshr"), (300, 6))]
+    texts = [" ".join(np.random.default_rng(i).choice(words, 80)) for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    rows = media.decoded(media.store(media.media_column(docs), f"file://{tmp_path}/files"))
+    rows.write.option("compression", "zstd").option("parquet.block.row.count.limit", media.PCM_ROWS).parquet(f"file://{tmp_path}/default")
+    kept = media.store(rows, f"file://{tmp_path}/kept").collect()
+    size = {k: sum(f.stat().st_size for f in (tmp_path / k).glob("*.parquet")) for k in ("default", "kept")}
+    assert size["kept"] < 0.9 * size["default"]
+    codecs = [r.codec for r in kept]
+    assert set(codecs) == set(media.CODECS) and sum(a != b for a, b in zip(codecs, codecs[1:])) == 2
+    assert sorted(r.doc_id for r in kept) == list(range(len(texts)))
+    for r in kept[::50]:
+        codec, _, pcm = media.read_payloads([media.stored(texts[r.doc_id].encode())])
+        assert (r.codec, bytes(r.pcm)) == (codec[0], media.resample(pcm[0]).astype("<i2").tobytes())
+
+
 def test_query_reads_stored_samples(spark, monkeypatch, tmp_path):
     """op4_media stores the resampled samples and takes its features from what it reads back."""
     pytest.importorskip("public_tokenizers")
